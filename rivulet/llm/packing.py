@@ -15,7 +15,9 @@ Sequence ids are task << 36 | counter, so a task that runs again repeats them.
 
 from __future__ import annotations
 
+import functools
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -29,35 +31,47 @@ from rivulet.llm.textbatch import pick, texts
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; the table is emptied when full.
-MEMO = 300_000
+MEMO = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class WordMemo:
-    """Ids of whole texts, from remembered ids of the parts between white space.
+class WordMemo(dict):
+    """Ids (little-endian uint32) of the parts of a text between white space.
 
-    Exact for tokenizers that drop white space and match no token across it.
+    Exact for tokenizers that lower-case, drop white space and match no token
+    across it, nor across a letter and a full stop or comma.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, list[int]] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1:] in b".," and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, docs: list[bytes], end: int) -> Iterator[np.ndarray]:
-        """The ids of each text and the end id, as little-endian uint32."""
+        """The ids of each text and the end id."""
+        last = np.array([end], "<u4").tobytes()
         for text in docs:
-            words = text.split()
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            if new := [w for w in dict.fromkeys(words) if w not in self.memo]:
-                made = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                self.memo.update(zip(new, (e.ids for e in made)))
-            yield np.array([*chain.from_iterable(map(self.memo.__getitem__, words)), end], "<u4")
+            if len(self) > MEMO:
+                self.clear()
+            yield np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())) + last, "<u4")
+
+
+@functools.cache
+def worker_memo(path: str) -> WordMemo:
+    """One memo for all tasks of a worker process; it changes no result."""
+    return WordMemo(path)
 
 
 class SumOfSquares:
@@ -173,7 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id:
     uint32), and its sequence and place in it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, packer = WordMemo(tokenizer_path), SumOfSquares(window, max_open)
+        memo, packer = worker_memo(tokenizer_path), SumOfSquares(window, max_open)
         number = TaskContext.get().partitionId() << 36
         ready: list[list] = []
         for batch in batches:
