@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import language_id, packing, secret_scan, simhash
+from rivulet.llm import language_id, packing, pii, secret_scan, simhash
 from rivulet.llm.textbatch import held_out
 
 
@@ -27,6 +27,13 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def counts(spans: str, kinds: list[str]) -> list[Column]:
+    def of(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [of(k) for k in kinds]
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, train=~held_out(F.col("id")))
@@ -34,11 +41,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pii_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("pii", lambda s: s["kind"].isin(pii.KINDS[: pii.N_BASE]))
+    return found.select("doc_id", *counts("pii", pii.KINDS), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("pii")).alias("spans"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
     base = F.filter("secrets", lambda s: s["kind"].isin(secret_scan.KINDS[: secret_scan.N_BASE]))
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
-    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *counts("secrets", secret_scan.KINDS), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("secrets")).alias("spans"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +64,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_secret_scan, op7_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_pii, op4_secret_scan, op7_simhash, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
