@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import language_id, packing, pii, secret_scan, simhash
+from rivulet.llm import language_id, packing, pii, quality_rules, secret_scan, simhash
 from rivulet.llm.textbatch import held_out
 
 
@@ -63,8 +63,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_pii, op4_secret_scan, op7_simhash, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op3_pii, op4_secret_scan, op7_simhash, op9_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
