@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import language_id, packing, pii, quality_rules, secret_scan, simhash
+from rivulet.llm import language_id, packing, pii, quality_rules, secret_scan, simhash, substring_dedup
 from rivulet.llm.textbatch import held_out
 
 
@@ -53,6 +53,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts("secrets", secret_scan.KINDS), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("secrets")).alias("spans"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -69,8 +74,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_pii, op4_secret_scan, op7_simhash, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op3_pii, op4_secret_scan, op5_substring_dedup, op7_simhash, op9_packing, op10_quality_rules)}
+
+
+#: Words by their places; a window by its 50 words; the least id of each window's words.
+OP5_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS seq FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)
+), judged AS (
+    SELECT doc_id, i, min(doc_id) OVER (PARTITION BY seq) < doc_id AS again FROM windows
+), gone AS (
+    SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS gone_at FROM judged WHERE again GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, w, coalesce(gone_at, []::BIGINT[]) AS gone_at FROM words LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone_at)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN len(gone_at) = 0 THEN w ELSE [w[k] FOR k IN range(1, len(w) + 1) IF NOT list_contains(gone_at, k)] END, ' ')) AS kept_sha256
+FROM kept
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_dedup": OP5_SQL}
