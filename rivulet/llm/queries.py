@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import language_id, packing, pii, quality_rules, secret_scan, simhash, substring_dedup
+from rivulet.llm import decontamination, language_id, packing, pii, quality_rules, secret_scan, simhash, substring_dedup
 from rivulet.llm.textbatch import held_out
 
 
@@ -58,6 +58,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,7 +78,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_pii, op4_secret_scan, op5_substring_dedup, op7_simhash, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op3_pii, op4_secret_scan, op5_substring_dedup, op6_decontamination, op7_simhash, op9_packing, op10_quality_rules)}
 
 
 #: Words by their places; a window by its 50 words; the least id of each window's words.
