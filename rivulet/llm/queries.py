@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import decontamination, language_id, packing, pii, quality_rules, secret_scan, simhash, substring_dedup
+from rivulet.llm import decontamination, language_id, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, toxicity
 from rivulet.llm.textbatch import held_out
 
 
@@ -41,6 +41,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train_rows=~held_out(F.col("id")))
+    found = toxicity.scored(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(table(spark, sf_dir, "documents"))
     base = F.filter("pii", lambda s: s["kind"].isin(pii.KINDS[: pii.N_BASE]))
@@ -78,7 +85,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_pii, op4_secret_scan, op5_substring_dedup, op6_decontamination, op7_simhash, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_pii, op4_secret_scan, op5_substring_dedup, op6_decontamination, op7_simhash, op9_packing, op10_quality_rules)}
 
 
 #: Words by their places; a window by its 50 words; the least id of each window's words.
