@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import decontamination, language_id, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, toxicity
+from rivulet.llm import decontamination, language_id, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, toxicity, warc
 from rivulet.llm.textbatch import held_out
 
 
@@ -74,6 +74,25 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def crawl_of(pages: DataFrame) -> DataFrame:
+    """WARC records for pages: a full response of each (but every 11th), and a later not-modified
+    revisit under another form of its URL; every 7th page has changed its ETag meanwhile."""
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    headers = F.create_map(F.lit("ETag"), tag, F.lit("Content-Length"), F.octet_length("html").cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Type"), F.lit("text/html"))
+    full = pages.where("page_id % 11 <> 0").select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("page_id").alias("ts"), F.lit("response").alias("type"), headers.alias("headers"))
+    later = F.when(F.col("page_id") % 7 == 0, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
+    update = F.create_map(F.lit("etag"), later, F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.concat(F.lit("max-age="), F.col("page_id").cast("string")))
+    uri = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_medium=again#revisit"))
+    again = pages.select((-F.col("page_id") - 1).alias("record_id"), uri.alias("uri"), (F.col("page_id") + 1_000_000_000_000).alias("ts"), F.lit("revisit").alias("type"), update.alias("headers"))
+    return full.unionAll(again)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(crawl_of(table(spark, sf_dir, "pages")))
+    named = [F.col("headers")[k].alias(k.replace("-", "_")) for k in ("etag", "content-length", "cache-control", "content-type")]
+    return found.select((-F.col("record_id") - 1).alias("page_id"), "canonical_url", "refers_to", "status", *named)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -85,7 +104,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_pii, op4_secret_scan, op5_substring_dedup, op6_decontamination, op7_simhash, op9_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_pii, op4_secret_scan, op5_substring_dedup, op6_decontamination, op7_simhash, op8_warc, op9_packing, op10_quality_rules)}
 
 
 #: Words by their places; a window by its 50 words; the least id of each window's words.
@@ -107,5 +126,30 @@ FROM kept
 """
 
 
+OP8_SQL = r"""
+WITH canon AS (
+    SELECT page_id, md5(html) AS tag, strlen(html) AS size, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages
+), parts AS (
+    SELECT page_id, tag, size,
+           regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^(www[0-9]*|m)\.', ''), ':(80|443)$', '') AS host,
+           regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+           list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)'))) AS query
+    FROM canon
+), keyed AS (
+    SELECT page_id, tag, size, host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical_url FROM parts
+), latest AS (
+    SELECT canonical_url, max(page_id) AS refers_to, max_by(tag, page_id) AS stored, max_by(size, page_id) AS size FROM keyed WHERE page_id % 11 <> 0 GROUP BY canonical_url
+), judged AS (
+    SELECT k.page_id, k.canonical_url, l.refers_to, l.size,
+           CASE WHEN l.refers_to IS NULL THEN 'orphan' WHEN k.page_id % 7 <> 0 AND k.tag = l.stored THEN 'resolved' ELSE 'mismatch' END AS status,
+           CASE WHEN k.page_id % 7 = 0 THEN '"changed"' ELSE 'W/"' || k.tag || '"' END AS etag
+    FROM keyed k LEFT JOIN latest l USING (canonical_url)
+)
+SELECT page_id, canonical_url, refers_to, status, etag, CASE WHEN status = 'resolved' THEN size::VARCHAR ELSE '0' END AS content_length,
+       'max-age=' || page_id AS cache_control, CASE WHEN status = 'resolved' THEN 'text/html' END AS content_type
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL}
+    return {"op8_warc": OP8_SQL, "op5_substring_dedup": OP5_SQL}

@@ -153,13 +153,52 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     return found.where("not hot").select("u", "v").unionAll(stars)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id reachable over links) for every row."""
-    prints = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash")
+def _groups(prints: DataFrame, cell: int) -> DataFrame:
+    """fp, group (the same for all fingerprints that links connect), component_id."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(distinct.select("fp"), cell), "simhash-components")
     rooted = distinct.join(roots, F.col("fp") == F.col("vertex"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("linked_id"))
-    linked = rooted.join(ids, "root").select("fp", "linked_id")
-    component = distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "least_id").alias("component_id"))
-    return prints.join(component, "fp").select("doc_id", "fp", "component_id")
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("linked_id"), F.lit(True).alias("is_linked"))
+    linked = rooted.join(ids, "root").select("fp", "root", "linked_id", "is_linked")
+    component = F.when(F.col("is_linked"), F.col("linked_id")).otherwise(F.col("least_id"))
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id (the least doc_id reachable over links) for every row."""
+    prints = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash")
+    return prints.join(written(_groups(prints, cell).drop("group"), "simhash-groups"), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, *, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, that stand for their component: that of the least id.
+
+    Where several rows could (equal ids, or no id in the component), one stays.
+    """
+    names = docs.columns
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no name clashes with those made here
+    prints = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash")
+    groups = written(_groups(prints, cell), "simhash-groups")
+    least = groups.where("component_id is not null").select(F.col("component_id").alias("_id"))
+    unsure = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    unsure = written(unsure.select(F.col("doc_id").alias("_id")), "simhash-unsure")
+    doc_id = F.col(id_col).cast("long")
+    plain = least.join(unsure, "_id", "left_anti")
+    kept = docs.join(plain, doc_id == F.col("_id"), "left_semi")
+    if unsure.isEmpty():
+        return kept.toDF(*names)
+    rows = docs.join(unsure, doc_id.eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.struct("*"))
+    rows = rows.select("_row", doc_id.alias("_id"), F.xxhash64(F.to_json(F.struct("_row"))).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
+    keyed = map_batches(rows.select("_id", "_hash", "_text").distinct(), _keyed(shingle), "_id long, _hash long, fp long")
+    best = keyed.join(groups, "fp").where("component_id is null or component_id = _id").groupBy("group").agg(F.min("_hash").alias("_hash"))
+    chosen = rows.join(best.select("_hash").distinct(), "_hash", "left_semi").dropDuplicates(["_hash"])
+    return kept.unionAll(chosen.select("_row.*")).toDF(*names)
+
+
+def _keyed(shingle: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = [fingerprint(t, shingle) for t in texts(batch.column("_text"))]
+        return pa.record_batch([batch.column("_id"), batch.column("_hash"), pa.array(fps, pa.int64())], ["_id", "_hash", "fp"])
+
+    return run
