@@ -190,4 +190,4 @@ def judged(stats: DataFrame, *, steps: int = STEPS, share: float = SHARE, tail:
 
 def quality(docs: DataFrame, **columns: str) -> DataFrame:
     """Counts, statistics and verdict of every row."""
-    return judged(text_counts(docs, **columns))
+    return judged(written(text_counts(docs, **columns), "quality-counts"))
