@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import scalars as S
-from rivulet.operators import aggregate, align, combine, layout, resample, temporal, tensor, trace, windows
+from rivulet.operators import aggregate, align, combine, folds, image, layout, resample, temporal, tensor, trace, windows
 from rivulet.operators.ordered import as_of
+from rivulet.plans import graph
+from rivulet.plans.modules import Module
 from rivulet.schema import micros
+from rivulet.sources import readers, sinks
+from rivulet.stream import Stream
 
 
 @dataclass(frozen=True)
@@ -123,16 +127,12 @@ def src_frame_meta(spark, d):
 
 @query("src_clock", "SELECT range AS n, trunc(range * 1000000 / 30.0::DOUBLE)::BIGINT AS clock_us FROM range(1000) WHERE range < 1000")
 def src_clock(spark, d):
-    from rivulet.sources.readers import clock
-
-    return clock(spark, 1000, 30.0)
+    return readers.clock(spark, 1000, 30.0)
 
 
 @query("src_simple_source", "SELECT range AS value, CASE WHEN range >= 1500 THEN 'EOS' WHEN range % 10 = 0 THEN 'EOF' END AS ctl FROM range(1, 1501)")
 def src_simple_source(spark, d):
-    from rivulet.sources.readers import counter
-
-    return counter(spark)
+    return readers.counter(spark)
 
 
 @query("src_probe", "SELECT stream_id, min(ts_us) AS first_us, max(ts_us) AS last_us, (max(ts_us) - min(ts_us)) / 1e6 AS duration, count(*) AS frames, round((count(*) - 1) / ((max(ts_us) - min(ts_us)) / 1e6), 6) AS fps FROM ev GROUP BY stream_id")
@@ -720,6 +720,196 @@ def channel_count(spark, d):
     return events(spark, d).select("seq", S.channels(F.col("seq") % 1024).cast("int").alias("n"))
 
 
+# --- sources and sinks as rows -----------------------------------------------------------
+@query("src_wallclock", "SELECT 'video' AS stream_id, range AS ts_us FROM range(0, 1000001, 40000) UNION ALL SELECT 'audio', range FROM range(0, 1000001, 23220)")
+def src_wallclock(spark, d):
+    return readers.wall_clock(spark, 1_000_000, {"video": 40_000, "audio": 23_220})
+
+
+@query("src_anullsrc", "SELECT range AS seq, trunc(range * 1024 * 1000000 / 44100.0::DOUBLE)::BIGINT AS ts_us, 2 AS channels, 1024 AS n FROM range(87)")
+def src_anullsrc(spark, d):
+    s = readers.silence(spark, 2.0)
+    return s.select("seq", "ts_us", F.size("samples").alias("channels"), F.size(F.get("samples", F.lit(0))).alias("n"))
+
+
+@query("snk_limit", "SELECT user_id, seq, k::BIGINT AS copy, ts_us + k * 40000 AS ts_us FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, seq) AS rn FROM ev) WHERE rn <= 12), (SELECT range AS k FROM range(9)) WHERE k = 0 OR (rn = n AND k <= 8 - n)")
+def snk_limit(spark, d):
+    out = sinks.limited(events(spark, d).select("user_id", "seq", "ts_us", F.col("ts_us").alias("own")), ["user_id"], 12, 8)
+    return out.select("user_id", "seq", F.expr("(ts_us - own) div 40000").alias("copy"), "ts_us")
+
+
+@query("snk_stream_info", "SELECT stream_id, count(*) AS frames, (max(ts_us) - min(ts_us)) / 1e6 AS duration FROM ev GROUP BY 1")
+def snk_stream_info(spark, d):
+    info = sinks.stream_info(events(spark, d), KEY).withColumn("i", F.from_json("info", "struct<frames:bigint,duration:double>"))
+    return info.select("stream_id", F.col("i")["frames"].alias("frames"), F.col("i")["duration"].alias("duration"))
+
+
+@query("snk_push_output", "SELECT stream_id, seq, ts_us, value FROM ev")
+def snk_push_output(spark, d):
+    packed = sinks.push(events(spark, d), 2)
+    body = F.from_json(F.col("data").cast("string"), "struct<value:double>")
+    return packed.select("stream_id", "seq", "ts_us", body["value"].alias("value"))
+
+
+@query("snk_null", "SELECT NULL::VARCHAR AS path, 1::BIGINT AS ts_us")
+def snk_null(spark, d):
+    return sinks.encode(events(spark, d), null=True)
+
+
+@query("pass_through", "SELECT seq, ts_us, value FROM ev")
+def pass_through(spark, d):
+    return Stream(events(spark, d)).pass_through().df.select("seq", "ts_us", "value")
+
+
+@query("vflip", "SELECT vec_id, [round(e[i], 6) for i in [5, 6, 7, 8, 1, 2, 3, 4]] AS part FROM emb")
+def vflip(spark, d):
+    return vectors(spark, d).select("vec_id", F.transform(tensor.mirror(F.slice("e", 1, 8), 4, "vertical"), lambda x: F.round(x, 6)).alias("part"))
+
+
+@query("crop", "SELECT vec_id, [round(e[i], 6) for i in [6, 7, 10, 11]] AS part FROM emb")
+def crop(spark, d):
+    rows = F.slice(tensor.reshape(F.slice("e", 1, 16), (4, 4)), 2, 2)
+    return vectors(spark, d).select("vec_id", F.transform(F.flatten(F.transform(rows, lambda r: F.slice(r, 2, 2))), lambda x: F.round(x, 6)).alias("part"))
+
+
+@query("robot_echo", "SELECT vec_id, round(list_sum([e[i] + CASE WHEN i > 4 THEN e[greatest(i - 4, 1)] * 0.5 ELSE 0 END for i in range(1, len(e) + 1)]), 4) AS total FROM emb")
+def robot_echo(spark, d):
+    return vectors(spark, d).select("vec_id", _summed(tensor.echo(F.col("e"), 4, 0.5)))
+
+
+@query("arithmetic", "SELECT vec_id, round(list_sum([least(1.0, greatest(0.0, x * 2 - x * 0.5 + 0.25)) for x in e]), 4) AS total FROM emb")
+def arithmetic(spark, d):
+    return vectors(spark, d).select("vec_id", _summed(tensor.linear(F.col("e"), F.col("e"), 2.0, -0.5, 0.25)))
+
+
+# --- plans ---------------------------------------------------------------------------------
+_NODES = [(0, [], ["v0", "a0"]), (1, ["v0"], ["v1"]), (2, ["v1", "v0"], ["v2"]), (3, ["v2", "a0"], [])]
+
+
+@query("graph_edges", ", nd(id, i, o) AS (VALUES (0, []::VARCHAR[], ['v0', 'a0']), (1, ['v0'], ['v1']), (2, ['v1', 'v0'], ['v2']), (3, ['v2', 'a0'], []::VARCHAR[])) SELECT m.s AS stream, m.id AS from_id, u.id AS to_id FROM (SELECT id, unnest(o) AS s FROM nd) m JOIN (SELECT id, unnest(i) AS s FROM nd) u ON m.s = u.s")
+def graph_edges(spark, d):
+    return graph.edges(spark.createDataFrame(_NODES, "id int, inputs array<string>, outputs array<string>"))
+
+
+@query("graph_topo_sort", "SELECT n AS place, n AS id FROM (SELECT unnest([0, 1, 2, 3]) AS n)")
+def graph_topo_sort(spark, d):
+    order = graph.topological({0: [], 3: [2, 0], 2: [1, 0], 1: [0]})
+    return spark.createDataFrame(list(enumerate(order)), "place int, id int")
+
+
+@query("graph_json_plan", "SELECT stream_id, seq, ts_us - lo AS ts_us, value * 2 AS value FROM (SELECT *, min(ts_us) OVER (PARTITION BY stream_id) AS lo FROM ev)")
+def graph_json_plan(spark, d):
+    g = graph.Graph()
+    (a,) = g.module("setpts", g.input_stream("in"), {"expression": "PTS-STARTPTS"})
+    (b,) = g.module("volume", a, {"gain": 2.0})
+    g.output_stream(b)
+    (out,) = graph.Graph.from_json(g.as_json()).run(spark, **{"in": events(spark, d)}).values()
+    return out.select("stream_id", "seq", "ts_us", "value")
+
+
+class Scaler(Module):
+    """A user module: scales a column."""
+
+    def process(self, frames):
+        for pdf in frames:
+            yield pdf.assign(value=pdf["value"] * self.option["by"])
+
+
+@query("udf_module", "SELECT seq, value * 4 AS value FROM ev")
+def udf_module(spark, d):
+    return Scaler({"by": 4.0}).apply([events(spark, d).select("seq", "value")])
+
+
+# --- recurrences and pixels (tests compare them with models) ------------------------------------
+@query("pts_repair")
+def pts_repair(spark, d):
+    ev = events(spark, d).select("user_id", "seq", F.pmod("ts_us", F.lit(1 << 33)).alias("ts_us"))
+    return folds.pts_repair(ev, ["user_id"], wrap=1 << 33)
+
+
+@query("live_repair")
+def live_repair(spark, d):
+    ev = temporal.rebase(events(spark, d), ["user_id"]).withColumn("connection", F.floor(F.col("ts_us") / DAY).cast("long"))
+    ev = ev.withColumn("start", F.col("connection") * DAY).withColumn("ts_us", F.pmod("ts_us", F.lit(DAY)))
+    return folds.live_repair(ev.select("user_id", "connection", "start", "ts_us", "seq"), ["user_id"], "connection", "start")
+
+
+@query("jitter_buffer")
+def jitter_buffer(spark, d):
+    ev = temporal.rebase(events(spark, d), ["user_id"]).select("user_id", "seq", "ts_us", (F.col("ts_us") + F.pmod("seq", F.lit(7)) * 1_000_000).alias("arrival_us"))
+    return folds.jitter_buffer(ev, ["user_id"], 3_600_000_000, high_us=7_200_000_000, low_us=3_600_000_000)
+
+
+def _picture(spark, d, operation, *args, **named):
+    return image.on_column(vectors(spark, d).select("vec_id", F.slice("e", 1, 64).alias("e")), "e", (8, 8), operation, *args, **named).select("vec_id", _summed(F.col("e")))
+
+
+@query("image_resize")
+def image_resize(spark, d):
+    return _picture(spark, d, image.resize, 16, 12, "bicubic")
+
+
+@query("image_rotate", "SELECT vec_id, [round(e[i], 6) for i in [3, 1, 4, 2]] AS part FROM emb")
+def image_rotate(spark, d):
+    v = image.on_column(vectors(spark, d).select("vec_id", F.slice("e", 1, 4).alias("e")), "e", (2, 2), image.rotate, 90)
+    return v.select("vec_id", F.transform("e", lambda x: F.round(x, 6)).alias("part"))
+
+
+@query("image_gaussian_blur")
+def image_gaussian_blur(spark, d):
+    return _picture(spark, d, image.gaussian_blur, 3, 3, 1.0)
+
+
+@query("image_sobel")
+def image_sobel(spark, d):
+    return _picture(spark, d, image.sobel, 1, 0)
+
+
+@query("image_canny")
+def image_canny(spark, d):
+    return _picture(spark, d, image.canny, 0.2, 0.6)
+
+
+@query("image_erode", "SELECT vec_id, round(list_min(list_slice(e, 1, 9)), 6) AS centre FROM emb")
+def image_erode(spark, d):
+    v = image.on_column(vectors(spark, d).select("vec_id", F.slice("e", 1, 9).alias("e")), "e", (3, 3), image.erode)
+    return v.select("vec_id", F.round(F.get("e", F.lit(4)), 6).alias("centre"))
+
+
+@query("image_warp")
+def image_warp(spark, d):
+    return _picture(spark, d, image.warp_perspective, [[1, 0.1, 0], [0, 1, 0.5], [0, 0, 1]], 8, 8, "bilinear")
+
+
+@query("image_bilateral")
+def image_bilateral(spark, d):
+    return _picture(spark, d, image.bilateral_filter, 5, 0.5, 2.0)
+
+
+@query("temporal_denoise")
+def temporal_denoise(spark, d):
+    v = vectors(spark, d).select("label", "vec_id", F.slice("e", 1, 16).alias("e"))
+    return windows.temporal_denoise(v, ["label"], "e", 4, 4, order=("vec_id",)).select("label", "vec_id", _summed(F.col("e")))
+
+
+@query("yuv_rgb", "SELECT p_partkey, greatest(0, least(255, floor((y - 16) * 1.164384 + 1.792741 * (v - 128) + 0.5)))::INT AS r FROM (SELECT p_partkey, (p_partkey % 220 + 16)::DOUBLE AS y, (p_size * 4)::DOUBLE AS v FROM part)")
+def yuv_rgb(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 220 + 16).cast("double").alias("y"), (F.col("p_size") * 4).cast("double").alias("v"))
+    ky, rv, *_ = image.TO_RGB["bt709"]
+    return p.select("p_partkey", tensor.cast_one(tensor.half_up((F.col("y") - 16) * ky + rv * (F.col("v") - 128)), "uint8").cast("int").alias("r"))
+
+
+@query("resample_audio")
+def resample_audio(spark, d):
+    return resample.resample_audio(vectors(spark, d), "e", 44100, 32000).select("vec_id", F.size("e").alias("n"), _summed(F.col("e")))
+
+
+@query("luma_histogram", "SELECT bin, coalesce(n, 0) AS n FROM (SELECT range::INT AS bin FROM range(256)) LEFT JOIN (SELECT least(255, greatest(0, round(0.299 * (p_partkey % 256) + 0.587 * p_size + 0.114 * 40)))::INT AS bin, count(*) AS n FROM part GROUP BY 1) USING (bin)")
+def luma_histogram(spark, d):
+    y = aggregate.luma(F.col("p_partkey") % 256, F.col("p_size"), F.lit(40))
+    return aggregate.histogram(table(spark, d, "part").withColumn("y", y), [], "y")
+
+
 # --- the flagship -----------------------------------------------------------------------
 @query(
     "session_summary",
