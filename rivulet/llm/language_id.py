@@ -17,7 +17,6 @@ keep their rows; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,6 @@ EXCERPT = 400
 #: About so many steps of 64 windows train the network.
 STEPS = 1500
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _PAD = max(WIDTHS) - 1
 
 
@@ -207,7 +205,7 @@ def _predict(column: pa.Array, model: tuple | None) -> tuple[list[str], np.ndarr
     for first, last in runs(offsets):
         prob = scorer.probabilities(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         for k, best in enumerate(prob.argmax(axis=1).tolist(), first):
-            if values[k] and _LETTER.search(values[k]):
+            if values[k] and any(map(str.isalpha, values[k])):
                 langs[k], score[k] = scorer.net.langs[best], min(1.0, float(prob[k - first, best]))
     return langs, score
 

@@ -1,39 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables: see ``rivulet.shared``."""
 
-``spark.checkpoint.dir`` names it; only where that is unset (tests, a laptop) is
-a temporary folder made.  A written table outlives lost executors, is columnar,
-and gives the optimizer its size.
-"""
+from rivulet.shared import discard, folder, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own(spark)
-
-
-def _own(spark: SparkSession) -> str:
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rivulet-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once and read back: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._rivulet_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a written table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._rivulet_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "folder", "written"]

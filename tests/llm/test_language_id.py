@@ -67,7 +67,7 @@ def test_windows_cover_whole_texts():
 
 
 def test_odd_rows(spark, model):
-    rows = [(1, None), (2, ""), (3, "123 !!"), (None, "the and of to in is was"), (4, "der die das und ist nicht"), (4, "der die das und ist nicht"), (5, "the of and " * 100_000)]
+    rows = [(1, None), (2, ""), (3, "123 !! ²"), (None, "the and of to in is was"), (4, "der die das und ist nicht"), (4, "der die das und ist nicht"), (5, "the of and " * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("x"), "lang_pred": F.lit("y")})
     got = L.identify(docs, model).collect()
     assert len(got) == len(rows)
