@@ -1,4 +1,10 @@
-"""python -m rivulet graph.json output-folder [input=path.parquet ...]: run a graph from JSON."""
+"""python -m rivulet COMMAND ...
+
+run GRAPH.json OUT [input=path.parquet ...]   run a graph from JSON, an output folder for each stream
+trace LOG OUT                                 duration, frequency and total tables of an event log
+modules                                       names of registered modules
+text GRAPH.json                               the graph as one filter line
+"""
 
 from __future__ import annotations
 
@@ -6,16 +12,29 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from rivulet.plans.graph import Graph
+from rivulet.operators import trace
+from rivulet.plans.graph import Graph, to_text
+from rivulet.plans.modules import registry
 
 
 def main(args: list[str]) -> None:
-    if len(args) < 2:
-        sys.exit(__doc__)
-    spark = SparkSession.builder.getOrCreate()
-    inputs = {k: spark.read.parquet(v) for k, v in (x.split("=", 1) for x in args[2:])}
-    for name, df in Graph.from_json(args[0]).run(spark, **inputs).items():
-        df.write.parquet(f"{args[1]}/{name}")
+    match args:
+        case ["run", graph, out, *inputs]:
+            spark = SparkSession.builder.getOrCreate()
+            frames = {k: spark.read.parquet(v) for k, v in (x.split("=", 1) for x in inputs)}
+            for name, df in Graph.from_json(graph).run(spark, **frames).items():
+                df.write.parquet(f"{out}/{name}")
+        case ["trace", log, out]:
+            spark = SparkSession.builder.getOrCreate()
+            events = trace.parse(spark.read.text(log))
+            for name, df in (("durations", trace.durations(events)), ("frequencies", trace.frequencies(events)), ("totals", trace.totals(events))):
+                df.write.json(f"{out}/{name}")
+        case ["modules"]:
+            print("\n".join(registry.names()))
+        case ["text", graph]:
+            print(to_text(Graph.from_json(graph)))
+        case _:
+            sys.exit(__doc__)
 
 
 if __name__ == "__main__":

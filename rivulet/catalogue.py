@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions import scalars as S
-from rivulet.operators import aggregate, align, combine, folds, image, layout, resample, temporal, tensor, trace, windows
+from rivulet.operators import aggregate, align, combine, convert, folds, image, layout, resample, temporal, tensor, trace, windows
 from rivulet.operators.ordered import as_of
 from rivulet.plans import graph
 from rivulet.plans.modules import Module
@@ -782,6 +782,35 @@ def arithmetic(spark, d):
     return vectors(spark, d).select("vec_id", _summed(tensor.linear(F.col("e"), F.col("e"), 2.0, -0.5, 0.25)))
 
 
+@query("convert", "SELECT p_partkey, 320 AS width, ((p_partkey % 50 + 10) * 320 // (p_size * 20))::INT AS height, CASE WHEN p_partkey % 2 = 0 THEN 'RGB24' END AS pix_fmt FROM part")
+def convert_frames(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 20).alias("width"), (F.col("p_partkey") % 50 + 10).cast("int").alias("height"), F.when(F.col("p_partkey") % 2 == 0, "NV12").otherwise("P016").alias("pix_fmt"))
+    return convert.convert(p, convert.Target(width=320, pix_fmt="RGB24"))
+
+
+@query("src_autorotate", "SELECT p_partkey, CASE WHEN p_partkey % 4 % 2 = 1 THEN 480 ELSE 640 END AS width, CASE WHEN p_partkey % 4 % 2 = 1 THEN 640 ELSE 480 END AS height, 0 AS rotation FROM part")
+def src_autorotate(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.lit(640).alias("width"), F.lit(480).alias("height"), (F.col("p_partkey") % 4 * 90).alias("rotation"))
+    return convert.autorotate(p)
+
+
+@query("src_stream_copy", "SELECT stream_id, seq, ts_us AS pts, seq % 25 = 0 AS keyframe FROM ev")
+def src_stream_copy(spark, d):
+    ev = events(spark, d).withColumns({"codec": F.lit("h264"), "width": F.lit(640), "height": F.lit(480), "pts": F.col("ts_us"), "dts": F.col("ts_us"), "keyframe": F.col("seq") % 25 == 0, "data": F.col("props").cast("binary")})
+    return convert.packets(ev)[1].select("stream_id", "seq", "pts", "keyframe")
+
+
+@query("extract_dict", "SELECT seq, value FROM ev")
+def extract_dict(spark, d):
+    packed = events(spark, d).select(F.struct("seq", "value").alias("payload"), "user_id")
+    return convert.unpack(packed, "payload")[0]
+
+
+@query("setsar", "SELECT seq, '1/1' AS sar FROM ev")
+def setsar(spark, d):
+    return Stream(events(spark, d)).ff_filter("setsar", "1/1").df.select("seq", "sar")
+
+
 # --- plans ---------------------------------------------------------------------------------
 _NODES = [(0, [], ["v0", "a0"]), (1, ["v0"], ["v1"]), (2, ["v1", "v0"], ["v2"]), (3, ["v2", "a0"], [])]
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,6 +195,18 @@ class Graph:
             n.inputs = [i for i in n.inputs if plain(i) not in lost]
         self.outputs = [o for o in self.outputs if plain(o) not in lost]
 
+    def update(self, other: Graph) -> None:
+        """Nodes of another graph added; names must not clash."""
+        number = max((n.id for n in self.nodes), default=-1) + 1
+        self.nodes += [replace(n, id=number + k) for k, n in enumerate(other.nodes)]
+        self.inputs |= {k: v for k, v in other.inputs.items() if k not in self.inputs}
+        self.outputs += other.outputs
+        self.check()
+
+    def status(self) -> list[dict]:
+        """Of each node: id, module, alias, inputs and outputs."""
+        return [{"id": n.id, "module": n.module, "alias": n.alias, "inputs": n.inputs, "outputs": n.outputs} for n in self.nodes]
+
     # running
     def build(self, spark: SparkSession, **inputs: DataFrame) -> dict[str, DataFrame]:
         """All streams as lazy DataFrames by name."""

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from rivulet.operators import aggregate, align, combine, resample, temporal, windows
+from rivulet.operators import aggregate, align, combine, convert, resample, temporal, windows
 from rivulet.operators.ordered import as_of
 from rivulet.sources import sinks
 
@@ -130,6 +130,17 @@ class Stream:
     def histogram(self, value: str = "value", bins: int = 256) -> DataFrame:
         return aggregate.histogram(self.df, self._k, value, bins)
 
+    def ff_filter(self, name: str, *args, **named) -> Stream:
+        """Any operation by name: a method of this class, or a registered frame filter."""
+        if hasattr(self, name):
+            return getattr(self, name)(*args, **named)
+        if name not in convert.FILTERS:
+            raise ValueError(f"no filter {name}")
+        return self._with(convert.FILTERS[name](self.df, *args, **named))
+
+    def scale(self, width: int, height: int) -> Stream:
+        return self._with(convert.FILTERS["scale"](self.df, width, height))
+
     # ends
     def encode(self, path: str | None = None, **options) -> DataFrame:
         return sinks.encode(self.df, path, **options)

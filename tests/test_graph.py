@@ -160,3 +160,69 @@ def test_fluent(spark, df, tmp_path):
     assert s["a"].fps(2.0).df.count() == 11 and s.limit(2).df.count() == 4 and s.as_of(s).df.count() == 12
     with pytest.raises(ValueError):
         s.encode()
+
+
+def test_workflow(spark, df):
+    from rivulet.plans import workflow
+
+    registry.add("load")(lambda spark, inputs, option: spark.range(option["n"]).selectExpr("'a' AS stream_id", "id AS ts_us", "id AS seq", "double(id) AS value"))
+    flow = {"7": {"class_type": "load", "inputs": {"n": 4}}, "9": {"class_type": "volume", "inputs": {"gain": 2.0, "images": ["7", 0]}}, "10": {"class_type": "framesync", "inputs": {"a": ["7", 0], "b": ["9", 0]}}}
+    g = workflow.read(json.dumps(flow))
+    assert [n.input_manager for n in g.nodes] == ["default", "default", "framesync"] and g.outputs == ["stream_10_0"]
+    assert [r.b.value for r in g.run(spark)["stream_10_0"].orderBy("ts_us").collect()] == [0, 2, 4, 6]
+    flow["7"]["inputs"]["x"] = ["10", 0]
+    with pytest.raises(GraphError, match="loop"):
+        workflow.read(flow)
+    registry.remove("load")
+
+
+def test_update_and_status(spark, df):
+    g, more = two_steps(), Graph()
+    (w,) = more.module("limit", "volume_1_0", {"n": 1}, outputs=["last"])
+    more.output_stream(w)
+    g.update(more)
+    assert [s["module"] for s in g.status()] == ["trim", "volume", "limit"]
+    assert g.run(spark, **{"in": df})["last"].count() == 2
+
+
+def test_errors_and_conversion(spark, df):
+    import logging
+
+    from rivulet import errors
+    from rivulet.operators import convert
+
+    errors.raise_for(0)
+    with pytest.raises(errors.TimedOut):
+        errors.raise_for(-40)
+    with pytest.raises(errors.StatusError):
+        errors.raise_for(-999)
+    buffer = errors.LogBuffer(level=logging.WARNING)
+    logging.getLogger("rivulet").warning("seen")
+    logging.getLogger("rivulet").info("not seen")
+    assert buffer.detach() == ["seen"]
+    for bad in ({}, {"video_codec": "h264"}, {"audio_codec": "aac", "channels": 2}):
+        with pytest.raises(ValueError):
+            convert.raw_stream_option(bad)
+    frames = df.selectExpr("1920 AS width", "1080 AS height", "'NV12' AS pix_fmt").limit(1)
+    r = convert.convert(frames, convert.Target(height=500, color_space="bt709", media_type="frame")).first()
+    assert (r.width, r.height, r.color_space) == (888, 500, "bt709")
+    assert Stream(frames).scale(640, -2).df.first().height == 360
+    with pytest.raises(ValueError):
+        Stream(frames).ff_filter("nothing")
+    assert frames.select(convert.parse_size(F.lit("3x4")).alias("s")).first().s.height == 4
+
+
+def test_command_line(spark, df, tmp_path, capsys):
+    from rivulet.__main__ import main
+
+    two_steps().dump(str(tmp_path / "g.json"))
+    df.write.parquet(str(tmp_path / "in"))
+    main(["run", str(tmp_path / "g.json"), str(tmp_path / "out"), f"in={tmp_path / 'in'}"])
+    assert spark.read.parquet(str(tmp_path / "out" / "volume_1_0")).count() == 6
+    main(["text", str(tmp_path / "g.json")])
+    assert "trim" in capsys.readouterr().out
+    (tmp_path / "log").write_text("1,1,10,node,1,1\n1,1,25,node,1,2,size:1:3\n")
+    main(["trace", str(tmp_path / "log"), str(tmp_path / "stats")])
+    assert spark.read.json(str(tmp_path / "stats" / "durations")).first().total == 15
+    with pytest.raises(SystemExit):
+        main([])
