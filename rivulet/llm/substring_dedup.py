@@ -36,6 +36,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,8 +210,7 @@ def duplicate_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def _removed(batch: pa.RecordBatch, n_words: np.ndarray) -> np.ndarray:
     """For all words of the batch, one row after the other, whether each goes."""
     ranges = batch.column("ranges")
-    per = np.diff(ranges.offsets.to_numpy())
-    per[np.asarray(ranges.is_null())] = 0
+    per = pc.list_value_length(ranges).fill_null(0).to_numpy(zero_copy_only=False)
     flat = ranges.flatten()
     row = np.repeat(np.arange(len(per)), per)
     first, mask = flat.field("first").to_numpy().astype(np.int64), flat.field("mask").to_numpy()
@@ -227,7 +227,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = pick(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     joined = rows.join(written(ranges, "dedup-ranges"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "ranges")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def part(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
         data, offsets = utf8(batch.column("text"))
         whole = data.tobytes()
         words = [whole[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -240,6 +240,12 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             if g:
                 w = [x for x, out in zip(w, gone[end - len(w) : end].tolist()) if not out]
             kept.append(b" ".join(w).decode())
-        return pa.record_batch([batch.column("doc_id"), pa.array(n_words), pa.array(n_gone.astype(np.int64)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+        return n_words, n_gone.astype(np.int64), kept
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, offsets = utf8(batch.column("text"))
+        parts = [part(batch.slice(a, b - a)) for a, b in runs(offsets)]
+        n_words, n_gone = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        return pa.record_batch([batch.column("doc_id"), pa.array(n_words), pa.array(n_gone), pa.array([t for p in parts for t in p[2]], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return map_batches(joined, run, "doc_id long, n_words long, n_removed long, kept string")
