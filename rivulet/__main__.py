@@ -4,6 +4,7 @@ run GRAPH.json OUT [input=path.parquet ...]   run a graph from JSON, an output f
 trace LOG OUT                                 duration, frequency and total tables of an event log
 modules                                       names of registered modules
 text GRAPH.json                               the graph as one filter line
+new NAME FILE.py                              a user module to start from
 """
 
 from __future__ import annotations
@@ -17,6 +18,21 @@ from rivulet.plans.graph import Graph, to_text
 from rivulet.plans.modules import registry
 
 
+MODULE = '''"""A user module."""
+
+from rivulet.plans.modules import Module, registry
+
+
+@registry.add("{name}")
+class {cls}(Module):
+    schema = ""  # of what process yields; empty: as the input
+
+    def process(self, frames):
+        for pdf in frames:
+            yield pdf
+'''
+
+
 def main(args: list[str]) -> None:
     match args:
         case ["run", graph, out, *inputs]:
@@ -33,6 +49,9 @@ def main(args: list[str]) -> None:
             print("\n".join(registry.names()))
         case ["text", graph]:
             print(to_text(Graph.from_json(graph)))
+        case ["new", name, path]:
+            with open(path, "x") as out:
+                out.write(MODULE.format(name=name, cls="".join(part.title() for part in name.split("_"))))
         case _:
             sys.exit(__doc__)
 

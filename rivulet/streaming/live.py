@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rivulet.operators.folds import JitterBuffer
@@ -122,6 +123,22 @@ def with_resets(stream: DataFrame, work: Callable[[DataFrame, dict[str, str]], D
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Progress(StreamingQueryListener):
+    """Calls a function with the rows of each finished micro-batch (driver side)."""
+
+    def __init__(self, tell: Callable[[int, int], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        self.tell(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+
 class Gateway:
     """Server mode: a graph that stays, jobs that come; results by name, all, or first in first out."""
 

@@ -224,5 +224,10 @@ def test_command_line(spark, df, tmp_path, capsys):
     (tmp_path / "log").write_text("1,1,10,node,1,1\n1,1,25,node,1,2,size:1:3\n")
     main(["trace", str(tmp_path / "log"), str(tmp_path / "stats")])
     assert spark.read.json(str(tmp_path / "stats" / "durations")).first().total == 15
+    main(["new", "my_module", str(tmp_path / "my_module.py")])
+    made = {}
+    exec((tmp_path / "my_module.py").read_text(), made)
+    assert registry.find("my_module") is made["MyModule"]
+    registry.remove("my_module")
     with pytest.raises(SystemExit):
         main([])

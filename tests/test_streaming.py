@@ -1,6 +1,7 @@
 """A stream run over all that was pushed gives what the batch operator gives."""
 
 import json
+import time
 
 import pytest
 
@@ -71,6 +72,22 @@ def test_errors_and_watermarks(spark, tmp_path):
     assert bound.isStreaming and spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
 
 
+def test_progress_and_resume(spark, tmp_path):
+    seen = []
+    listener = live.Progress(lambda number, rows: seen.append((number, rows)))
+    spark.streams.addListener(listener)
+    stream, ends_ = pushed(spark, tmp_path, "p", rows(0, 6, 1), parts=2), ends(tmp_path, "progress")
+    assert live.drain(stream, *ends_).count() == 12
+    live.push(spark.createDataFrame(rows(10, 1, 1), SCHEMA).coalesce(1), str(tmp_path / "p"))
+    assert live.drain(stream, *ends_).count() == 14  # from where it stopped
+    for _ in range(50):
+        if sum(n for _, n in seen) == 14:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert sum(n for _, n in seen) == 14
+
+
 def test_gateway(spark):
     g = Graph()
     (y,) = g.module("volume", g.input_stream("in"), {"gain": 2.0})
