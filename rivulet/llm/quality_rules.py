@@ -156,6 +156,7 @@ def _grouped(stats: DataFrame) -> DataFrame:
         F.col("_s").alias("_s1"),
         F.when(F.col("_n") >= MIN_GROUP, F.to_json(F.struct("_l", "_s"))).when(F.col("_nl") >= MIN_GROUP, F.to_json(F.struct("_l"))).otherwise("rest").alias("g"),
     )
+    named = written(named, "quality-groups")
     return keyed.join(named, (F.col("_l") == F.col("_l1")) & (F.col("_s") == F.col("_s1")), "left").drop("_l", "_s", "_l1", "_s1")
 
 
