@@ -36,6 +36,16 @@ MEMO = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def _byte_chars() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it is visible, else the next free one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b if b in visible else next(free)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class WordMemo(dict):
     """Ids (little-endian uint32) of the parts of a text between white space.
 
@@ -50,12 +60,30 @@ class WordMemo(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.direct = self.tokenizer.model, False
+        # words of letters alone skip the tokenizer's splitting where that gives the same ids
+        self.direct = all(self._ids(w) == self._word(w.encode()) for w in ("the", "idiosyncrasy", "straße", "ÉTÉ", "ªñÿ"))
+
+    def _ids(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _word(self, word: bytes) -> list[int] | None:
+        """Ids of a word of Latin-1 letters from the model itself; None for other words."""
+        if word.isalpha():
+            text = word.decode().lower()
+        else:
+            text = word.decode()
+            if not (text.isalpha() and max(text) < "\u0100"):
+                return None
+            text = "".join(map(_BYTE_CHARS.__getitem__, text.lower().encode()))
+        return [t.id for t in self.model.tokenize(text)]
 
     def __missing__(self, word: bytes) -> bytes:
         if word[-1:] in b".," and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
         else:
-            ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            found = self._word(word) if self.direct else None
+            ids = array("I", self._ids(word.decode()) if found is None else found).tobytes()
         self[word] = ids
         return ids
 

@@ -71,3 +71,12 @@ def test_query_gives_unsigned_crc(spark, sf):
     got = queries.op9_packing(spark, sf).limit(20).collect()
     ids = {(p.doc_id, p.start): p.ids for p in pack(spark.read.parquet(f"{sf}/documents.parquet"), PATH).collect()}
     assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id, r.start]) for r in got)
+
+
+def test_words_of_letters_skip_splitting_with_the_same_ids():
+    from rivulet.llm.packing import WordMemo
+
+    memo = WordMemo(PATH)
+    assert memo.direct
+    for word in ["The", "ärger", "ÑANDÚ", "µª", "œuvre", "日本", "naïve,", "x1", "don't", "ß.", "..", "é,", "A.", "İstanbul", "ﬁn", "ét"]:
+        assert list(np.frombuffer(memo[word.lower().encode() if word.isascii() else word.encode()], "<u4")) == memo._ids(word), word
