@@ -165,6 +165,7 @@ def judged(stats: DataFrame, *, steps: int = STEPS, share: float = SHARE, tail:
     n = len(NAMES)
     with_raw = _grouped(stats).withColumns({"base_failed": base_failed(), "raw": F.array(*_raw())})
     medians = with_raw.where("not base_failed").groupBy("g").agg(F.array(*[F.percentile_approx(F.col("raw")[k], 0.5, 1000) for k in range(n)]).alias("median"))
+    medians = written(medians, "quality-medians")
     weight = F.sqrt(F.col("n_words") / (F.col("n_words") + STEADY_WORDS))
     x = F.array(*[(F.col("raw")[k] - F.col("median")[k]) * (F.lit(1.0) if k == 0 else weight) for k in range(n)])
     rows = with_raw.join(medians.withColumnRenamed("g", "g2"), F.col("g") == F.col("g2"), "left").withColumn("x", x).drop("g2", "raw", "median")
@@ -179,6 +180,7 @@ def judged(stats: DataFrame, *, steps: int = STEPS, share: float = SHARE, tail:
         estimate = written(estimate, "quality-estimate")
         near = fit.join(estimate, "g").select("g", "x", _distance().alias("d"))
         cut = near.groupBy("g").agg(F.percentile_approx("d", share, 2000).alias("cut"))
+        cut = written(cut, "quality-cut")
         estimate = _estimates(_moments(near.join(cut, "g").where("d <= cut")))
     estimate = written(estimate, "quality-estimate")
     near = fit.join(estimate, "g").select("g", _distance().alias("d"))
