@@ -7,7 +7,8 @@ mean over all its windows.  For inference the embedding and the filters fold int
 two tables indexed by pairs of bytes, so that a position costs two look-ups.
 
 Training reads a bounded sample: at most about ``PER_LANG`` labelled rows of each
-language (chosen by a hash of their id), and two excerpts of each.
+language (chosen by a hash of their id) of the ``MAX_LANGS`` most frequent ones,
+and two excerpts of each.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as
 is every text if there is nothing to learn from; a null doc_id and repeated rows
@@ -30,6 +31,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 PER_LANG = 1500
+#: Languages that are learned, the most frequent ones.
+MAX_LANGS = 200
 EXCERPT = 400
 #: About so many steps of 64 windows train the network.
 STEPS = 1500
@@ -176,7 +179,7 @@ def fit(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))])[F.col("lang")]

@@ -79,3 +79,9 @@ def test_odd_rows(spark, model):
     assert L.identify(docs.limit(0), model).count() == 0
     nothing = L.fit(docs.withColumn("lang", F.lit(None)), train=F.lit(True))
     assert nothing is None and {r.lang_pred for r in L.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_only_the_most_frequent_languages_are_learned(spark, sf, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGS", 2)
+    langs, _ = L.fit(spark.read.parquet(f"{sf}/documents.parquet"), train=~held_out(F.col("id")))
+    assert len(langs) == 2 and "en" in langs
