@@ -59,21 +59,20 @@ def clocksync(ticks: DataFrame, stream: DataFrame, ts: str = TS, seq: str = SEQ,
     later of two equally near wins; since a tick consumes at least one row, row
     number min(N - 1, k + max over j <= k of (nearest_j - j)) is the one used.
     """
-    one = F.lit(1).alias("_g")
-    clock = numbered(ticks.select(F.col(ts).alias("tick"), one), ["_g"], ["tick"], "k", spread=spread).withColumn("k", F.col("k") - 1)
-    rows = numbered(stream.select(one, F.col(ts), F.col(seq)), ["_g"], [ts, seq], "n", spread=spread).withColumn("n", F.col("n") - 1)
+    whole = numbered(stream.withColumn("_g", F.lit(1)), ["_g"], [ts, seq], "n", spread=spread).withColumn("n", F.col("n") - 1)
+    rows = whole.select("_g", ts, seq, "n")
+    clock = numbered(ticks.select(F.col(ts).alias("tick"), F.lit(1).alias("_g")), ["_g"], ["tick"], "k", spread=spread).withColumn("k", F.col("k") - 1)
     first = stream.agg(F.min(ts).alias("_s0"), F.count("*").alias("_count")).crossJoin(ticks.agg(F.min(ts).alias("_t0")))
     aimed = clock.crossJoin(F.broadcast(first)).withColumn(ts, F.col("tick") - F.col("_t0") + F.col("_s0")).withColumn(seq, F.col("k"))
-    before = as_of(aimed, rows, ["_g"], ts=ts, seq=seq, payload="_before", spread=spread)
-    forth = rows.withColumn(ts, -F.col(ts)).withColumn(seq, -F.col("n"))
-    found = as_of(before.withColumn(ts, -F.col(ts)), forth, ["_g"], ts=ts, seq=seq, payload="_after", spread=spread).withColumn(ts, -F.col(ts))
-    back, ahead = F.col(ts) - F.col("_before")[ts], -F.col("_after")[ts] - F.col(ts)
-    # of equal times the last row
-    nearest = F.when(F.col("_after").isNull(), F.col("_before")["n"]).when(F.col("_before").isNull() | (ahead <= back), F.col("_after")["n"]).otherwise(F.col("_before")["n"])
-    lead = scan(found.withColumn("_near", nearest), ["_g"], ["k"], {"_lead": Run("max", F.col("_near") - F.col("k"))}, spread=spread)
+    # the row at or before the target (there always is one), and the last row of the next time
+    found = as_of(aimed, rows, ["_g"], ts=ts, seq=seq, payload="_before", spread=spread).withColumn("_next", F.col("_before")["n"] + 1)
+    later = rows.select(F.col("n").alias("_next"), F.col(ts).alias("_later"))
+    last = rows.groupBy(F.col(ts).alias("_later")).agg(F.max("n").alias("_after"))
+    found = found.join(later, "_next", "left").join(last, "_later", "left")
+    ahead = F.col("_later") - F.col(ts) <= F.col(ts) - F.col("_before")[ts]
+    lead = scan(found.withColumn("_near", F.when(ahead, F.col("_after")).otherwise(F.col("_before")["n"])), ["_g"], ["k"], {"_lead": Run("max", F.col("_near") - F.col("k"))}, spread=spread)
     used = lead.select("k", "tick", F.col(ts).alias("target"), F.least(F.col("_count") - 1, F.col("k") + F.col("_lead")).alias("n"))
-    numbered_rows = numbered(stream.withColumn("_g", F.lit(1)), ["_g"], [ts, seq], "n", spread=spread).withColumn("n", F.col("n") - 1)
-    return used.join(numbered_rows.select("n", F.struct(*stream.columns).alias("row")), "n").select("k", "tick", "target", "n", "row")
+    return used.join(whole.select("n", F.struct(*stream.columns).alias("row")), "n").select("k", "tick", "target", "n", "row")
 
 
 def jobs(stream: DataFrame, is_eof: Column, keys: list[str], ts: str = TS, seq: str = SEQ, *, spread: bool = False) -> DataFrame:
