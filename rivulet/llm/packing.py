@@ -31,7 +31,7 @@ from rivulet.llm.textbatch import pick, texts
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; the table is emptied when full.
-MEMO = 1_000_000
+MEMO = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -231,5 +231,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id:
         ready += packer.pour(last=True)
         if ready:
             yield _rows(ready, number)
+        pa.default_memory_pool().release_unused()
 
     return pick(docs, id_col, text_col).mapInArrow(run, SCHEMA)

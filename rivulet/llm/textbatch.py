@@ -31,6 +31,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()  # a worker waits for its next task without it
 
     return df.mapInArrow(run, schema)
 
