@@ -20,13 +20,14 @@ component has no other); repeated rows share their component.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm import jaccard
 from rivulet.llm.components import components
 from rivulet.llm.shared_tables import written
 from rivulet.llm.textbatch import map_batches, pick, texts
@@ -153,10 +154,10 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     return found.where("not hot").select("u", "v").unionAll(stars)
 
 
-def _groups(prints: DataFrame, cell: int) -> DataFrame:
+def _groups(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """fp, group (the same for all fingerprints that links connect), component_id."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(distinct.select("fp"), cell), "simhash-components")
+    roots = components(link(distinct.select("fp")), "simhash-components")
     rooted = distinct.join(roots, F.col("fp") == F.col("vertex"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("linked_id"), F.lit(True).alias("is_linked"))
     linked = rooted.join(ids, "root").select("fp", "root", "linked_id", "is_linked")
@@ -167,19 +168,22 @@ def _groups(prints: DataFrame, cell: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable over links) for every row."""
     prints = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash")
-    return prints.join(written(_groups(prints, cell).drop("group"), "simhash-groups"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(written(_groups(prints, lambda fps: links(fps, cell)).drop("group"), "simhash-groups"), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, *, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float | None = None, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, unchanged, that stand for their component: that of the least id.
 
     Where several rows could (equal ids, or no id in the component), one stays.
+    With a ``similarity``, links are pairs whose shingle sets have at least that
+    Jaccard similarity (``rivulet.llm.jaccard``), whatever their fingerprints.
     """
     names = docs.columns
     id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no name clashes with those made here
-    prints = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash")
-    groups = written(_groups(prints, cell), "simhash-groups")
+    columns = {"shingle": shingle, "id_col": id_col, "text_col": text_col}
+    prints = written(fingerprints(docs, **columns) if similarity is None else jaccard.prints(docs, **columns), "simhash")
+    groups = written(_groups(prints, lambda fps: links(fps, cell) if similarity is None else jaccard.links(docs, prints, similarity, **columns)), "simhash-groups")
     least = groups.where("component_id is not null").select(F.col("component_id").alias("_id"))
     unsure = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     unsure = written(unsure.select(F.col("doc_id").alias("_id")), "simhash-unsure")
@@ -190,15 +194,16 @@ def representatives(docs: DataFrame, *, shingle: int = SHINGLE, cell: int = CELL
         return kept.toDF(*names)
     rows = docs.join(unsure, doc_id.eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.struct("*"))
     rows = rows.select("_row", doc_id.alias("_id"), F.xxhash64(F.to_json(F.struct("_row"))).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
-    keyed = map_batches(rows.select("_id", "_hash", "_text").distinct(), _keyed(shingle), "_id long, _hash long, fp long")
+    keyed = map_batches(rows.select("_id", "_hash", "_text").distinct(), _keyed(shingle, similarity), "_id long, _hash long, fp long")
     best = keyed.join(groups, "fp").where("component_id is null or component_id = _id").groupBy("group").agg(F.min("_hash").alias("_hash"))
     chosen = rows.join(best.select("_hash").distinct(), "_hash", "left_semi").dropDuplicates(["_hash"])
     return kept.unionAll(chosen.select("_row.*")).toDF(*names)
 
 
-def _keyed(shingle: int):
+def _keyed(shingle: int, similarity: float | None):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(t, shingle) for t in texts(batch.column("_text"))]
-        return pa.record_batch([batch.column("_id"), batch.column("_hash"), pa.array(fps, pa.int64())], ["_id", "_hash", "fp"])
+        column = batch.column("_text")
+        fps = pa.array([fingerprint(t, shingle) for t in texts(column)], pa.int64()) if similarity is None else jaccard.keys(column, shingle)
+        return pa.record_batch([batch.column("_id"), batch.column("_hash"), fps], ["_id", "_hash", "fp"])
 
     return run
