@@ -3,7 +3,7 @@
 Random strings cost many tokens: a run of 20 or more token characters whose
 characters per token under a public vocabulary are at most ``MAX_RATIO`` is a
 secret of kind ``random``, unless it is a digest of a known length, a UUID, a
-number, a date, or a plain word, or overlaps a pattern's span.
+number or a date, or overlaps a pattern's span.
 
 Defined results: null and empty texts have no spans; a null doc_id and repeated
 rows keep their rows; an empty table gives no rows; long texts are read whole.
@@ -32,7 +32,7 @@ MAX_RATIO = 1.9
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_NOT_RANDOM = re.compile(rb"[0-9+/_=-]*|[A-Z]?[a-z]+([+/_=-]+[A-Z]?[a-z]+)*[+/_=-]*|[A-Z]+([+/_=-]+[A-Z]+)*[+/_=-]*")
+_NUMBER = re.compile(rb"[0-9+/_=-]*")
 _HEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 _DIGESTS = {32, 40, 56, 64, 96, 128}
@@ -64,7 +64,7 @@ def chars_per_token(run: bytes, vocabulary: str) -> float:
 
 def _random_ratio(run: bytes, vocabulary: str) -> float | None:
     """The ratio of a run that fails the token-efficiency test, else None."""
-    if _NOT_RANDOM.fullmatch(run) or _UUID.fullmatch(run) or (len(run) in _DIGESTS and _HEX.fullmatch(run)):
+    if _NUMBER.fullmatch(run) or _UUID.fullmatch(run) or (len(run) in _DIGESTS and _HEX.fullmatch(run)):
         return None
     ratio = chars_per_token(run, vocabulary)
     return ratio if ratio <= MAX_RATIO else None

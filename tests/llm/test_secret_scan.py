@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -60,3 +62,12 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert by[2].text is None and by[2].n_chars is None and by[10].text == "[SECRET]"
     assert all(not brute_base(r.text) for r in out.collect())
     assert redacted(docs.limit(0), VOCAB).count() == 0
+
+
+def test_random_letters_of_one_case(spark):
+    rng = random.Random(8)
+    strings = ["".join(rng.choice(letters) for _ in range(32)) for letters in (string.ascii_lowercase, string.ascii_uppercase) for _ in range(50)]
+    words = ["internationalizations", "einlichheitenpfpfver", "INTERNATIONALIZATIONS", "2024-01-01/2024-12-31", "plain-words_of_one-case"]
+    docs = spark.createDataFrame(list(enumerate(strings + words)), "doc_id long, text string")
+    got = {r.doc_id for r in secret_spans(docs, VOCAB).collect() if [s.kind for s in r.secrets] == ["random"]}
+    assert len(got & set(range(100))) >= 97 and not got - set(range(100))
