@@ -3,7 +3,9 @@
 Random strings cost many tokens: a run of 20 or more token characters whose
 characters per token under a public vocabulary are at most ``MAX_RATIO`` is a
 secret of kind ``random``, unless it is a digest of a known length, a UUID, a
-number or a date, or overlaps a pattern's span.
+number or a date, or overlaps a pattern's span.  A run that passes as a whole, as
+a readable name dilutes it, is tested in its parts between separators, of which
+neighbours are joined; UUIDs and digests between separators divide a run.
 
 Defined results: null and empty texts have no spans; a null doc_id and repeated
 rows keep their rows; an empty table gives no rows; long texts are read whole.
@@ -34,6 +36,9 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _NUMBER = re.compile(rb"[0-9+/_=-]*")
 _HEX = re.compile(rb"[0-9a-f]+|[0-9A-F]+")
+#: Parts of a run between separators, and those that may be a UUID or a digest.
+_PART = re.compile(rb"[A-Za-z0-9]+")
+_KNOWN = re.compile(rb"(?<![A-Za-z0-9])(?:" + _UUID.pattern + rb"|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])")
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 
@@ -58,16 +63,57 @@ def _encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def chars_per_token(run: bytes, vocabulary: str) -> float:
-    return len(run) / len(_encoding(vocabulary).encode_ordinary(run.decode("ascii")))
+def _tokens(run: bytes, vocabulary: str) -> int:
+    return len(_encoding(vocabulary).encode_ordinary(run.decode("ascii")))
 
 
-def _random_ratio(run: bytes, vocabulary: str) -> float | None:
-    """The ratio of a run that fails the token-efficiency test, else None."""
-    if _NUMBER.fullmatch(run) or _UUID.fullmatch(run) or (len(run) in _DIGESTS and _HEX.fullmatch(run)):
-        return None
-    ratio = chars_per_token(run, vocabulary)
-    return ratio if ratio <= MAX_RATIO else None
+def chars_per_token(run: bytes, vocabulary: str) -> float:
+    return len(run) / _tokens(run, vocabulary)
+
+
+def _known(run: bytes) -> bool:
+    """A number or date, a UUID, or a digest."""
+    return bool(_NUMBER.fullmatch(run) or _UUID.fullmatch(run) or (len(run) in _DIGESTS and _HEX.fullmatch(run)))
+
+
+def _stretches(parts: list[tuple[int, int, float]]) -> Iterator[tuple[int, int]]:
+    """start and end of each maximal scoring stretch of (start, end, score), by Ruzzo and Tompa."""
+    found: list[tuple[float, float, int, int, int]] = []  # score before, score up to the end, start, end, last one that began lower
+    total = 0.0
+    for x, y, score in parts:
+        low, total = total, total + score
+        if score <= 0:
+            continue
+        k = len(found) - 1
+        while True:
+            while k >= 0 and found[k][0] >= low:
+                k = found[k][4]
+            if k < 0 or found[k][1] >= total:
+                break
+            low, x = found[k][0], found[k][2]
+            del found[k:]
+            k -= 1
+        found.append((low, total, x, y, k))
+    yield from (f[2:4] for f in found)
+
+
+def _random_parts(run: bytes, vocabulary: str) -> Iterator[tuple[int, int, float]]:
+    """start, end and ratio of what fails the token-efficiency test in a run: what lies
+    between UUIDs and digests, or else stretches of its parts, each of which counts what
+    its tokens are worth at ``MAX_RATIO`` less its characters."""
+    known = [m.span() for m in _KNOWN.finditer(run) if _known(m[0])]
+    for a, b in zip([0, *(y for _, y in known)], [*(x for x, _ in known), len(run)]):
+        whole = run[a:b]
+        if len(whole) < MIN_RANDOM or _NUMBER.fullmatch(whole):
+            continue
+        ratio = chars_per_token(whole, vocabulary)
+        if ratio <= MAX_RATIO:
+            yield a, b, ratio
+            continue
+        parts = [(*m.span(), MAX_RATIO * _tokens(m[0], vocabulary) - len(m[0])) for m in _PART.finditer(whole)]
+        for x, y in _stretches(parts):
+            if y - x >= MIN_RANDOM and not _NUMBER.fullmatch(whole[x:y]) and (ratio := chars_per_token(whole[x:y], vocabulary)) <= MAX_RATIO:
+                yield a + x, a + y, ratio
 
 
 def _class_runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -106,10 +152,11 @@ def find(column: pa.Array, vocabulary: str) -> dict[int, tuple[bytes, list[tuple
             found.setdefault(first + k, []).append((a, 2, b, None))
             kept[first + k] = whole[at[k] : at[k + 1]]
         for k, a, b in _class_runs(part, at, _TOKEN_CHARS, MIN_RANDOM):
-            ratio = _random_ratio(whole[at[k] + a : at[k] + b], vocabulary)
-            if ratio is not None and not any(x < b and a < y for x, _, y, _ in found.get(first + k, ())):
-                found.setdefault(first + k, []).append((a, 3, b, ratio))
-                kept[first + k] = whole[at[k] : at[k + 1]]
+            for x, y, ratio in _random_parts(whole[at[k] + a : at[k] + b], vocabulary):
+                x, y = a + x, a + y
+                if not any(p < y and x < q for p, _, q, _ in found.get(first + k, ())):
+                    found.setdefault(first + k, []).append((x, 3, y, ratio))
+                    kept[first + k] = whole[at[k] : at[k + 1]]
     return {k: (kept[k], sorted(v, key=lambda s: s[:3])) for k, v in found.items()}
 
 

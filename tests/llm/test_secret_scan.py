@@ -71,3 +71,16 @@ def test_random_letters_of_one_case(spark):
     docs = spark.createDataFrame(list(enumerate(strings + words)), "doc_id long, text string")
     got = {r.doc_id for r in secret_spans(docs, VOCAB).collect() if [s.kind for s in r.secrets] == ["random"]}
     assert len(got & set(range(100))) >= 97 and not got - set(range(100))
+
+
+def test_random_strings_glued_to_names(spark):
+    rng = random.Random(9)
+    secrets = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(20)) for _ in range(90)]
+    names = ["authorization_header=", "/static/images/products/", "/users/documents/downloads/"]
+    rows = [(k, f"see {names[k % 3]}{s}{'' if k % 2 else '/thumbnail_of_product'} end") for k, s in enumerate(secrets)]
+    rows += [(100, "id=123e4567-e89b-12d3-a456-426614174000"), (101, "sha1-DA39A3EE5E6B4B0D3255BFEF95601890AFD80709"), (102, "/usr/lib/python/dist-packages/internationalization"), (103, "released_on/2024-01-01/2024-12-31"), (104, "/".join(["123e4567-e89b-12d3-a456-426614174000"] * 3000))]
+    got = {r.doc_id: r.secrets for r in secret_spans(spark.createDataFrame(rows, "doc_id long, text string"), VOCAB).collect()}
+    assert sum(any(s in x.secret for x in got[k]) for k, s in enumerate(secrets)) >= 88
+    assert not any(got[k] for k in (100, 101, 102, 103, 104))
+    docs = redacted(spark.createDataFrame(rows, "doc_id long, text string"), VOCAB)
+    assert sum(secrets[r.doc_id] in r.text for r in docs.where("doc_id < 100").collect()) <= 2
