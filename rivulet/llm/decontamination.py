@@ -2,8 +2,9 @@
 
 Texts are reduced to their lower-cased letters and digits (UTF-8 bytes; Latin
 letters with marks are lower-cased too).  Benchmark items are cut into segments of
-``SEGMENT`` characters that overlap by half, so that part of an item is found as
-well.  A segment of m characters may differ from the document by k = EDITS * m
+``SEGMENT`` characters, one at every ``STEP``, so that part of an item is found as
+well, wherever it begins: an excerpt of SEGMENT + STEP - 1 holds a whole segment.
+Items of up to half as many again are also one segment as a whole.  A segment of m characters may differ from the document by k = EDITS * m
 edits; then the two share at least t = m - q + 1 - k * q q-grams, whose diagonals
 (place in the document less place in the item) lie within k of each other.  Bands
 of 2 * BAND diagonals, each overlapping the next by half and BAND > k, hold all of
@@ -13,7 +14,8 @@ The q-gram index is made on the driver from blocks of the benchmark of about
 ``INDEX_BYTES`` each; a larger benchmark takes several passes over the documents.
 
 Defined results: null and empty texts match nothing; items of fewer than
-``MIN_ITEM`` letters and digits are too short to tell and are left out; a null
+``MIN_ITEM`` letters and digits match whole and without an edit, those of fewer
+than one q-gram are too short to tell and are left out; a null
 item_id or doc_id is kept; repeated rows match as often as they come; an empty
 benchmark or table gives no rows.
 """
@@ -33,6 +35,7 @@ from rivulet.llm.textbatch import map_batches, pick, runs, utf8
 
 Q = 10
 SEGMENT = 80
+STEP = 8
 EDITS = 0.075
 BAND = 16
 MIN_ITEM = 40
@@ -88,21 +91,23 @@ class Index:
         segments, grams, owner, place = [], [], [], []
         for k, chars in enumerate(self.items):
             m = len(chars)
-            if m < MIN_ITEM:
+            if m < Q:
                 continue
             if m < SEGMENT * 3 // 2:
                 segments.append((k, 0, m))
-            else:
-                last = m - SEGMENT
-                segments += [(k, a, a + SEGMENT) for a in [*range(0, last - SEGMENT // 4, SEGMENT // 2), last]]
+            if m > SEGMENT:
+                segments += [(k, a, a + SEGMENT) for a in [*range(0, m - SEGMENT, STEP), m - SEGMENT]]
             h = gram_hashes(chars)
             grams.append(h)
             owner.append(np.full(len(h), k))
             place.append(np.arange(len(h)))
         self.segments = np.array(segments, np.int64).reshape(-1, 3)
-        self.first_segment = np.searchsorted(self.segments[:, 0], np.arange(len(items) + 1))
         length = self.segments[:, 2] - self.segments[:, 1]
-        self.budget = (EDITS * length).astype(np.int64)
+        self.longest = np.zeros(len(items), np.int64)
+        np.maximum.at(self.longest, self.segments[:, 0], length)
+        self.span = max(map(len, self.items), default=0) + 1
+        self.begins = self.segments[:, 0] * self.span + self.segments[:, 1]
+        self.budget = np.where(length < MIN_ITEM, 0, EDITS * length).astype(np.int64)
         self.least = np.maximum(1, length - Q + 1 - self.budget * Q)
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -144,9 +149,10 @@ class Index:
         if not len(item):
             return none
         # then by segment and whole band
-        per = self.first_segment[item + 1] - self.first_segment[item]
+        first = np.searchsorted(self.begins, item * self.span + np.maximum(0, place + Q - self.longest[item]))
+        per = np.searchsorted(self.begins, item * self.span + place, "right") - first
         row = np.repeat(np.arange(len(item)), per)
-        segment = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.first_segment[item], per)
+        segment = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(first, per)
         within = (place[row] >= self.segments[segment, 1]) & (place[row] + Q <= self.segments[segment, 2])
         row, segment = row[within], segment[within]
         row, segment, band = np.r_[row, row], np.r_[segment, segment], np.r_[half[row], half[row] - 1]
