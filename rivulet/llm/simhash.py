@@ -193,8 +193,8 @@ def representatives(docs: DataFrame, *, shingle: int = SHINGLE, similarity: floa
     if unsure.isEmpty():
         return kept.toDF(*names)
     rows = docs.join(unsure, doc_id.eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.struct("*"))
-    rows = rows.select("_row", doc_id.alias("_id"), F.xxhash64(F.to_json(F.struct("_row"))).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
-    keyed = map_batches(rows.select("_id", "_hash", "_text").distinct(), _keyed(shingle, similarity), "_id long, _hash long, fp long")
+    rows = rows.select("_row", doc_id.alias("_id"), F.sha2(F.to_json(F.struct("_row")), 256).alias("_hash"), F.col(text_col).cast("string").alias("_text"))
+    keyed = map_batches(rows.select("_id", "_hash", "_text").distinct(), _keyed(shingle, similarity), "_id long, _hash string, fp long")
     best = keyed.join(groups, "fp").where("component_id is null or component_id = _id").groupBy("group").agg(F.min("_hash").alias("_hash"))
     chosen = rows.join(best.select("_hash").distinct(), "_hash", "left_semi").dropDuplicates(["_hash"])
     return kept.unionAll(chosen.select("_row.*")).toDF(*names)
