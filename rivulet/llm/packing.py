@@ -50,7 +50,9 @@ class WordMemo(dict):
     """Ids (little-endian uint32) of the parts of a text between white space.
 
     Exact for tokenizers that lower-case, drop white space and match no token
-    across it, nor across a letter and a full stop or comma.
+    across it, nor across a letter and a full stop or comma.  Special tokens match
+    as they are written: a word that holds one goes to the tokenizer unchanged, under
+    a key that no word has; other words can't match one once they are lower-cased.
     """
 
     def __init__(self, path: str):
@@ -58,8 +60,9 @@ class WordMemo(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.exact = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.exact.get_added_tokens_decoder().values()]
         self.model, self.direct = self.tokenizer.model, False
         # words of letters alone skip the tokenizer's splitting where that gives the same ids
         self.direct = all(self._ids(w) == self._word(w.encode()) for w in ("the", "idiosyncrasy", "straße", "ÉTÉ", "ªñÿ"))
@@ -79,7 +82,9 @@ class WordMemo(dict):
         return [t.id for t in self.model.tokenize(text)]
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in b".," and word[-2:-1].isalpha():
+        if word[:1] == b" ":
+            ids = array("I", self.exact.encode(word[1:].decode(), add_special_tokens=False).ids).tobytes()
+        elif word[-1:] in b".," and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
         else:
             found = self._word(word) if self.direct else None
@@ -93,7 +98,10 @@ class WordMemo(dict):
         for text in docs:
             if len(self) > MEMO:
                 self.clear()
-            yield np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())) + last, "<u4")
+            words = text.lower().split()
+            if any(t in text for t in self.special):
+                words = [b" " + w if any(t in w for t in self.special) else w.lower() for w in text.split()]
+            yield np.frombuffer(b"".join(map(self.__getitem__, words)) + last, "<u4")
 
 
 @functools.cache

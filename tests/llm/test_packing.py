@@ -14,7 +14,6 @@ PATH = queries.tokenizer_path("word_bpe_49k.json")
 def check(pieces, docs, window=2048):
     """Every id lies in exactly one piece; sequences are gapless and full, or a power of two."""
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     left = {}
     for doc_id, text in docs:
         left.setdefault(doc_id, []).append([*t.encode(text or "", add_special_tokens=False).ids, 1])
@@ -47,6 +46,16 @@ def test_small_windows_and_odd_rows(spark, window):
     check(pack(docs, PATH, window=window, max_open=3).collect(), rows, window)
 
 
+def test_special_tokens_are_those_of_the_plain_tokenizer():
+    from rivulet.llm.packing import WordMemo
+
+    memo, plain = WordMemo(PATH), Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|ENDOFTEXT|> a", "x<|endoftext|>Y, z. <|startoftext|>\n<|endoftext|>", "<|endoftext|", "É<|endoftext|>É.", "<|EndOfText|><|endoftext|> A.<|endoftext|>,"]
+    for text, ids in zip(texts, memo.encode([t.encode() for t in texts], 1)):
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], text
+    assert list(next(memo.encode([texts[0].encode()], 1))) == [320, 49407, 321, 1]
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
