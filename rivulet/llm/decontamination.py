@@ -10,14 +10,21 @@ edits; then the two share at least t = m - q + 1 - k * q q-grams, whose diagonal
 of 2 * BAND diagonals, each overlapping the next by half and BAND > k, hold all of
 them: where a band has t distinct q-grams of a segment, banded alignment verifies.
 
+Equal segments of one item count once.  Where documents and items share more than
+``HITS`` (document place, item place) pairs, long periodic stretches of the documents
+lose their middle, which changes no match as no match spans what stays of them; then
+both sides are halved, with an overlap of what one match can span.  So texts and items
+that repeat themselves take some time, not memory.
+
 The q-gram index is made on the driver from blocks of the benchmark of about
 ``INDEX_BYTES`` each; a larger benchmark takes several passes over the documents.
 
 Defined results: null and empty texts match nothing; items of fewer than
-``MIN_ITEM`` letters and digits match whole and without an edit, those of fewer
-than one q-gram are too short to tell and are left out; a null
-item_id or doc_id is kept; repeated rows match as often as they come; an empty
-benchmark or table gives no rows.
+``MIN_ITEM`` letters and digits match whole and without an edit; those of fewer
+than one q-gram, which are parts of most texts, match documents that hold nothing
+else; items without a letter or digit match nothing; a null item_id or doc_id is
+kept; repeated rows match as often as they come; an empty benchmark or table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.textbatch import map_batches, pick, runs, utf8
+from rivulet.llm.textbatch import covered, map_batches, pick, runs, utf8
 
 Q = 10
 SEGMENT = 80
@@ -42,6 +49,8 @@ MIN_ITEM = 40
 INDEX_BYTES = 8 << 20
 _TABLE_BITS = 21
 _DP = 2048  # alignments at once
+HITS = 1 << 17
+_PERIODS = 32
 
 _MAP = np.zeros(256, np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -83,6 +92,24 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
+def squeezed(chars: np.ndarray, offsets: np.ndarray, keep: int) -> np.ndarray:
+    """Places that stay when stretches of a period of up to _PERIODS keep ``keep`` characters at either end, and the rest of a period."""
+    places = np.arange(len(chars))
+    for p in range(1, _PERIODS + 1):
+        now = chars[places]
+        same = now[p:] == now[:-p]
+        for edge in np.searchsorted(places, offsets[1:-1]).tolist():
+            same[max(0, edge - p) : edge] = False
+        steps = np.diff(np.r_[False, same, False].astype(np.int8))
+        first, last = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+        long = last - first > 2 * keep + p
+        stays = np.ones(len(places), bool)
+        for a, b in zip(first[long].tolist(), last[long].tolist()):
+            stays[a + keep : a + keep + (b - a - 2 * keep) // p * p] = False
+        places = places[stays]
+    return places
+
+
 class Index:
     """q-grams of a block of the benchmark, and its segments."""
 
@@ -93,18 +120,25 @@ class Index:
             m = len(chars)
             if m < Q:
                 continue
-            if m < SEGMENT * 3 // 2:
-                segments.append((k, 0, m))
+            mine = [(0, m)] if m < SEGMENT * 3 // 2 else []
             if m > SEGMENT:
-                segments += [(k, a, a + SEGMENT) for a in [*range(0, m - SEGMENT, STEP), m - SEGMENT]]
-            h = gram_hashes(chars)
-            grams.append(h)
-            owner.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
+                mine += [(a, a + SEGMENT) for a in [*range(0, m - SEGMENT, STEP), m - SEGMENT]]
+            mine = sorted({chars[a:b].tobytes(): (a, b) for a, b in reversed(mine)}.values())
+            segments += [(k, a, b) for a, b in mine]
+            used = np.flatnonzero(covered(m, np.array([a for a, _ in mine]), np.array([b - a - Q + 1 for a, b in mine])))
+            grams.append(gram_hashes(chars)[used])
+            owner.append(np.full(len(used), k))
+            place.append(used)
+        self.short: dict[bytes, list[int]] = {}
+        for k, chars in enumerate(self.items):
+            if 0 < len(chars) < Q:
+                self.short.setdefault(chars.tobytes(), []).append(k)
         self.segments = np.array(segments, np.int64).reshape(-1, 3)
         length = self.segments[:, 2] - self.segments[:, 1]
         self.longest = np.zeros(len(items), np.int64)
         np.maximum.at(self.longest, self.segments[:, 0], length)
+        #: One match lies within its segment's length and the bands beside it.
+        self.reach = int(self.longest.max(initial=0)) + 4 * BAND
         self.span = max(map(len, self.items), default=0) + 1
         self.begins = self.segments[:, 0] * self.span + self.segments[:, 1]
         self.budget = np.where(length < MIN_ITEM, 0, EDITS * length).astype(np.int64)
@@ -112,14 +146,17 @@ class Index:
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.owner, self.place = (np.concatenate(x)[order] if grams else np.zeros(0, np.int64) for x in (owner, place))
+        base = np.r_[0, np.cumsum([len(c) for c in self.items])]
+        self.letters = int(base[-1])
         self.values, self.start = np.unique(h[order], return_index=True)
         self.end = np.r_[self.start[1:], len(h)]
+        #: q-gram and place among all letters of the block, ascending
+        self.key = np.repeat(np.arange(len(self.values)), self.end - self.start) * (self.letters + 1) + base[self.owner] + self.place
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.values >> np.uint64(64 - _TABLE_BITS)] = True
 
-    def candidates(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """doc, segment, least and largest diagonal of each band that meets its segment's bound."""
-        none = (np.zeros(0, np.int64),) * 4
+    def _known(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose q-gram is in the index, the doc of each, and which q-gram it is."""
         h = gram_hashes(chars)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - _TABLE_BITS)])
         doc = np.searchsorted(offsets, at, "right") - 1
@@ -128,12 +165,39 @@ class Index:
         k = np.searchsorted(self.values, h[at])
         k[k == len(self.values)] = 0
         real = self.values[k] == h[at] if len(self.values) else np.zeros(0, bool)
-        at, doc, k = at[real], doc[real], k[real]
-        if not len(at):
-            return none
-        n = self.end[k] - self.start[k]
+        return at[real], doc[real], k[real]
+
+    def candidates(self, chars: np.ndarray, offsets: np.ndarray, known: tuple | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+        """doc, segment, least and largest diagonal of each band that meets its segment's bound, part by part."""
+        at, doc, k = known or self._known(chars, offsets)
+        if len(at):
+            yield from self._parts(at, doc, k, 0, self.letters)
+
+    def _parts(self, at: np.ndarray, doc: np.ndarray, k: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Candidates among the hits with item places (among all letters) from low to high."""
+        start, end = self.start[k], self.end[k]
+        if (low, high) != (0, self.letters):
+            start, end = (np.searchsorted(self.key, k * (self.letters + 1) + x) for x in (low, high))
+        longest, reach = int(self.longest.max(initial=0)), self.reach
+        if (end - start).sum() > HITS:
+            if at[-1] - at[0] > 4 * reach:
+                middle = (at[0] + at[-1]) // 2
+                for part in (at < middle + reach, at >= middle):
+                    yield from self._parts(at[part], doc[part], k[part], low, high)
+                return
+            if high - low > 4 * longest:
+                middle = (low + high) // 2
+                yield from self._parts(at, doc, k, low, middle + longest)
+                yield from self._parts(at, doc, k, middle, high)
+                return
+        some = end > start
+        if some.any():
+            yield self._bands(at[some], doc[some], start[some], (end - start)[some])
+
+    def _bands(self, at: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        none = (np.zeros(0, np.int64),) * 4
         hit = np.repeat(np.arange(len(at)), n)
-        occurrence = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[k], n)
+        occurrence = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
         item, place, diagonal, doc = self.owner[occurrence], self.place[occurrence], at[hit] - self.place[occurrence], doc[hit]
         # by item and half band first: a band is two neighbouring halves
         half = (diagonal - diagonal.min()) // BAND + 1
@@ -166,19 +230,32 @@ class Index:
         low, high = np.minimum.reduceat(diagonal[row], begin), np.maximum.reduceat(diagonal[row], begin)
         return tuple(x[enough] for x in (doc[row][begin], segment[begin], low, high))
 
-    def matches(self, chars: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """doc, item, start and end (in chars), edits of each verified segment."""
-        out = []
-        doc, segment, low, high = self.candidates(chars, offsets)
-        for at in range(0, len(doc), _DP):
-            to = slice(at, at + _DP)
-            d, s = doc[to], segment[to]
-            patterns = [self.items[k][x:y] for k, x, y in self.segments[s]]
-            start, width = self.segments[s, 1] + low[to] - self.budget[s], high[to] - low[to] + 2 * self.budget[s] + 1
-            edits, begin, end = align(patterns, chars, start, width, offsets[d], offsets[d + 1])
-            for k in np.flatnonzero(edits <= self.budget[s]).tolist():
-                out.append((int(d[k]), int(self.segments[s[k], 0]), int(begin[k]), int(end[k]), int(edits[k])))
-        return out
+    def matches(self, chars: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+        """doc, item, start and end (in chars), segments and least edits of what is verified: one for each doc and item."""
+        found: dict[tuple[int, int], tuple[int, int, set[int], int]] = {}
+        whole, bounds, places = chars, offsets, None
+        known = self._known(chars, offsets)
+        if (self.end[known[2]] - self.start[known[2]]).sum() > HITS:
+            places = squeezed(chars, offsets, 2 * self.reach)
+            chars, offsets, known = chars[places], np.searchsorted(places, offsets), None
+        for doc, segment, low, high in self.candidates(chars, offsets, known):
+            for at in range(0, len(doc), _DP):
+                to = slice(at, at + _DP)
+                d, s = doc[to], segment[to]
+                patterns = [self.items[k][x:y] for k, x, y in self.segments[s]]
+                start, width = self.segments[s, 1] + low[to] - self.budget[s], high[to] - low[to] + 2 * self.budget[s] + 1
+                edits, begin, end = align(patterns, chars, start, width, offsets[d], offsets[d + 1])
+                for k in np.flatnonzero(edits <= self.budget[s]).tolist():
+                    key = int(d[k]), int(self.segments[s[k], 0])
+                    a, b, of, least = found.get(key, (int(begin[k]), int(end[k]), set(), int(edits[k])))
+                    of.add(int(s[k]))
+                    found[key] = min(a, int(begin[k])), max(b, int(end[k])), of, min(least, int(edits[k]))
+        if places is not None:
+            found = {key: (int(places[min(a, len(places) - 1)]), int(places[max(b, 1) - 1]) + 1, of, least) for key, (a, b, of, least) in found.items()}
+        for d in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < Q)).tolist() if self.short else ():
+            for item in self.short.get(whole[bounds[d] : bounds[d + 1]].tobytes(), ()):
+                found[d, item] = int(bounds[d]), int(bounds[d + 1]), {-1}, 0
+        return [(d, item, a, b, len(of), least) for (d, item), (a, b, of, least) in sorted(found.items())]
 
 
 def align(patterns: list[np.ndarray], chars: np.ndarray, start: np.ndarray, width: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,12 +301,10 @@ def _find(column: pa.Array, index: Index) -> list[tuple[int, int, int, int, int,
     for a, b in runs(offsets):
         chars, at = reduced(data[offsets[a] : offsets[b]])
         bounds = np.searchsorted(at, offsets[a : b + 1] - offsets[a])
-        found: dict = {}
-        for doc, item, start, end, edits in index.matches(chars, bounds):
-            start, end = int(at[start]), int(at[min(end, len(at)) - 1]) + 1
-            x = found.setdefault((doc, item), [start, end, 0, edits])
-            found[doc, item] = [min(x[0], start), max(x[1], end), x[2] + 1, min(x[3], edits)]
-        out += [(a + doc, item, int(offsets[a] - offsets[a + doc]) + x[0], int(offsets[a] - offsets[a + doc]) + x[1], x[2], x[3]) for (doc, item), x in sorted(found.items())]
+        here = int(offsets[a])
+        for doc, item, start, end, segments, edits in index.matches(chars, bounds):
+            shift = here - int(offsets[a + doc])
+            out.append((a + doc, item, shift + int(at[start]), shift + int(at[min(end, len(at)) - 1]) + 1, segments, edits))
     return out
 
 
