@@ -46,6 +46,13 @@ def test_query(spark, sf):
     assert sum(good) >= 0.98 * len(good)
 
 
+def test_labelled_recall(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op10_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert len(bad) > 20 and sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def clean_counts(rng, n):
     words = rng.integers(30, 3000, n)
     return [(int(w), int(w * rng.normal(5, 0.1)), 0, 0, 0, int(w // 12), int(w * 0.1), int(w * 0.25), 0) for w in words]
@@ -62,17 +69,72 @@ def test_outliers_do_not_hide_each_other(spark):
     assert got[5000].kept and got[None].base_failed and not got[None].kept
 
 
-def test_estimate_against_numpy(spark):
+def plain_estimates(x, groups, chosen):
+    """Means and covariances drawn to the language's and all rows', by loops."""
+    floor, every = np.square(list(Q.FLOORS.values())), [k for k in groups if len(chosen[k])]
+
+    def pooled(keys):
+        n = sum(len(chosen[k]) for k in keys)
+        total = sum(x[chosen[k]].sum(axis=0) for k in keys)
+        scatter = sum((x[chosen[k]] - x[chosen[k]].mean(axis=0)).T @ (x[chosen[k]] - x[chosen[k]].mean(axis=0)) for k in keys)
+        return n, total, scatter
+
+    n, total, scatter = pooled(every)
+    mean_all, cov_all = total / n, scatter / n
+    out = {}
+    for k in every:
+        n, total, scatter = pooled([j for j in every if groups[j][0] == groups[k][0]])
+        mean, cov = (total + Q.SHRINK * mean_all) / (n + Q.SHRINK), (scatter + Q.SHRINK * cov_all) / (n + Q.SHRINK)
+        n, total, scatter = pooled([k])
+        mean, cov = (total + Q.SHRINK * mean) / (n + Q.SHRINK), (scatter + Q.SHRINK * cov) / (n + Q.SHRINK)
+        out[k] = mean, 0.99 * cov + np.diag(np.maximum(np.diag(cov), floor) - 0.99 * np.diag(cov))
+    return out
+
+
+def test_verdict_against_numpy(spark):
+    """The whole search in numpy: more starts, exact quantiles, all concentration steps to their end."""
     rng = np.random.default_rng(4)
-    n = len(Q.NAMES)
-    x = np.concatenate([rng.normal(0, 1, (400, n)), rng.normal(8, 0.1, (100, n))])
-    moments = Q._moments(spark.createDataFrame([("g", r.tolist()) for r in x], "g string, x array<double>"))
-    r = Q._estimates(moments).first()
-    floor = np.diag(np.square(list(Q.FLOORS.values())))
-    assert np.allclose(r.mean, x.mean(axis=0)) and np.allclose(np.array(r.inverse).reshape(n, n), np.linalg.inv(np.cov(x.T, bias=True) + floor))
-    d = spark.createDataFrame([(x[0].tolist(), r.mean, r.inverse)], "x array<double>, mean array<double>, inverse array<double>").select(Q._distance().alias("d")).first().d
-    e = x[0] - x.mean(axis=0)
-    assert np.isclose(d, e @ np.array(r.inverse).reshape(n, n) @ e)
+    rows, bad = [], set()
+    for lang, source, n in (("en", "a", 160), ("en", "b", 12), ("de", "a", 60), (None, None, 3)):
+        for c in clean_counts(rng, n):
+            rows.append((len(rows), lang, source, *c))
+        for w in rng.integers(30, 3000, n // 6).tolist():
+            bad.add(len(rows))
+            rows.append((len(rows), lang, source, w, int(w * 8), w // 4, 0, 0, 5, w // 3, w // 6, w // 20))
+    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in Q._COUNTS)
+    got = {r.doc_id: r for r in Q.judged(spark.createDataFrame(rows, schema)).collect()}
+    x = np.array([got[k].x for k in range(len(rows))])
+    groups = {got[k].g: (rows[k][1], rows[k][2]) for k in got}
+    at = {g: np.array([k for k in range(len(rows)) if got[k].g == g]) for g in groups}
+
+    def distances(e, g):
+        d = x[at[g]] - e[g][0]
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(e[g][1]), d)
+
+    best = {}
+    for seed in range(12):
+        pick = np.random.default_rng(seed)
+        chosen = {g: pick.permutation(a)[: len(a) // 2 + 1] for g, a in at.items()}
+        for _ in range(30):
+            e = plain_estimates(x, groups, chosen)
+            d = {g: distances(e, g) for g in groups}
+            chosen = {g: at[g][np.argsort(d[g], kind="stable")[: int(np.ceil(Q.SHARE * len(at[g])))]] for g in groups}
+        total = sum(np.linalg.slogdet(c)[1] for _, c in e.values())
+        best = min(best or (total, e), (total, e), key=lambda b: b[0])
+        best = tuple(best)
+    inner = np.sort(np.square(np.random.default_rng(0).normal(size=(400_000, len(Q.NAMES)))).sum(axis=1))
+    factor = len(Q.NAMES) / inner[: int(Q.SHARE * len(inner))].mean()  # by simulation
+    want = {k: d for g in groups for k, d in zip(at[g].tolist(), distances(best[1], g) / factor)}
+    assert all(np.isclose(got[k].distance, want[k], rtol=0.05) for k in want)
+    cut = Q.chi_squared_quantile(1 - Q.TAIL, len(Q.NAMES))
+    assert [k for k in want if want[k] > cut] == [k for k in got if not got[k].kept] == sorted(bad)
+
+
+def test_floors_are_under_the_spread_of_texts(spark, sf):
+    """Where ordinary texts differ at all, their own spread counts, not the floor."""
+    spread = Q.quality(spark.read.parquet(f"{sf}/documents.parquet")).where("kept").agg(*[F.stddev(F.col("x")[k]).alias(n) for k, n in enumerate(Q.NAMES)]).first()
+    for name in ("log_words", "word_length", "capitals", "marks", "adjacent"):
+        assert Q.FLOORS[name] < 0.9 * spread[name], name
 
 
 def test_odd_rows(spark):
