@@ -7,8 +7,9 @@ mean over all its windows.  For inference the embedding and the filters fold int
 two tables indexed by pairs of bytes, so that a position costs two look-ups.
 
 Training reads a bounded sample: at most about ``PER_LANG`` labelled rows of each
-language (chosen by a hash of their id) of the ``MAX_LANGS`` most frequent ones,
-and two excerpts of each.
+language (chosen by a hash of their id), fewer where there are so many languages
+that this would exceed ``SAMPLE`` rows, and two excerpts of each row.  A language
+of which no row is drawn can't be predicted.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as
 is every text if there is nothing to learn from; a null doc_id and repeated rows
@@ -31,8 +32,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
 PER_LANG = 1500
-#: Languages that are learned, the most frequent ones.
-MAX_LANGS = 200
+SAMPLE = 60_000
 EXCERPT = 400
 #: About so many steps of 64 windows train the network.
 STEPS = 1500
@@ -172,24 +172,27 @@ def _scorer(key: tuple) -> Scorer:
     return Scorer({k: np.frombuffer(v, np.float32).reshape(shape) for k, shape, v in packed}, langs)
 
 
-def fit(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> tuple | None:
+def fit(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, sample: int = SAMPLE) -> tuple | None:
     """A model from the rows for which ``train`` holds: (langs, parameters), or None without such rows.
 
-    At most about ``per_lang`` rows of each language and two excerpts of each come to the driver.
+    At most about ``per_lang`` rows of each language, and ``sample`` in all, and two excerpts of each come to the driver.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))])[F.col("lang")]
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    per = F.least(F.lit(per_lang), F.lit(sample) / F.col("langs"))
+    shares = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("langs")))).select(F.col("lang").alias("_lang"), (per / F.col("n")).alias("share"))  # one row a language
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = (F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("text") - EXCERPT, F.lit(1))) + 1).cast("int")
-    drawn = rows.where(draw < share).select("lang", F.array(F.substring("text", 1, EXCERPT), F.substr("text", place, F.lit(EXCERPT))).alias("parts"))
-    langs, parts, labels = sorted(counts), [], []
-    for r in sorted(drawn.collect()):
+    drawn = rows.join(shares, F.col("lang") == F.col("_lang")).where(draw < F.col("share")).select("lang", F.array(F.substring("text", 1, EXCERPT), F.substr("text", place, F.lit(EXCERPT))).alias("parts"))
+    found = sorted(drawn.collect())
+    if not found:
+        return None
+    langs, parts, labels = sorted({r.lang for r in found}), [], []
+    number = {lang: k for k, lang in enumerate(langs)}
+    for r in found:
         parts += r.parts
-        labels += [langs.index(r.lang)] * 2
+        labels += [number[r.lang]] * 2
     encoded = [p.encode() for p in parts]
     x, row = windows(np.frombuffer(b"".join(encoded), np.uint8), np.r_[0, np.cumsum([len(e) for e in encoded])])
     net = ByteCNN(langs)

@@ -75,21 +75,29 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_of(pages: DataFrame) -> DataFrame:
-    """WARC records for pages: a full response of each (but every 11th), and a later not-modified
-    revisit under another form of its URL; every 7th page has changed its ETag meanwhile."""
-    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
-    headers = F.create_map(F.lit("ETag"), tag, F.lit("Content-Length"), F.octet_length("html").cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Type"), F.lit("text/html"))
-    full = pages.where("page_id % 11 <> 0").select(F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("page_id").alias("ts"), F.lit("response").alias("type"), headers.alias("headers"))
-    later = F.when(F.col("page_id") % 7 == 0, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
-    update = F.create_map(F.lit("etag"), later, F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.concat(F.lit("max-age="), F.col("page_id").cast("string")))
+    """WARC records for pages, which hold none: two full responses of each page, the second unlike the first for
+    every other page, and a not-modified revisit under another form of its URL, which comes before both, between
+    them, after both, or at the time of the second.  Of five revisits four give an ETag, one Last-Modified only;
+    every 7th has the ETag of something else.  Pages of one canonical URL meet each other's responses."""
+    page, tag = F.col("page_id"), F.md5("html")
+
+    def first_or_second(n: int) -> Column:
+        version = F.when((page % 2 == 0) | F.lit(n == 0), tag).otherwise(F.concat(tag, F.lit("-2")))
+        headers = F.create_map(F.lit("ETag"), F.concat(F.lit('"'), version, F.lit('"')), F.lit("Last-Modified"), version, F.lit("Content-Length"), (F.octet_length("html") + n).cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Type"), F.lit("text/html"))
+        return F.struct((2 * page + n).alias("record_id"), F.col("url").alias("uri"), (8 * page + 800 * n).alias("ts"), F.lit("response").alias("type"), headers.alias("headers"))
+
+    own = F.when(page % 7 == 0, F.lit('"changed"')).otherwise(F.concat(F.lit('W/"'), tag, F.lit('"')))
+    validator = F.when(page % 5 == 0, F.create_map(F.lit("last-modified"), tag)).otherwise(F.create_map(F.lit("etag"), own))
+    update = F.map_concat(validator, F.create_map(F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.concat(F.lit("max-age="), page.cast("string"))))
     uri = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_medium=again#revisit"))
-    again = pages.select((-F.col("page_id") - 1).alias("record_id"), uri.alias("uri"), (F.col("page_id") + 1_000_000_000_000).alias("ts"), F.lit("revisit").alias("type"), update.alias("headers"))
-    return full.unionAll(again)
+    late = F.element_at(F.array(*map(F.lit, (-4, 4, 804, 800))), (page % 4 + 1).cast("int"))
+    again = F.struct((-page - 1).alias("record_id"), uri.alias("uri"), (8 * page + late).alias("ts"), F.lit("revisit").alias("type"), update.alias("headers"))
+    return pages.select(F.explode(F.array(first_or_second(0), first_or_second(1), again)).alias("r")).select("r.*")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(crawl_of(table(spark, sf_dir, "pages")))
-    named = [F.col("headers")[k].alias(k.replace("-", "_")) for k in ("etag", "content-length", "cache-control", "content-type")]
+    named = [F.col("headers")[k].alias(k.replace("-", "_")) for k in ("etag", "last-modified", "content-length", "cache-control", "content-type")]
     return found.select((-F.col("record_id") - 1).alias("page_id"), "canonical_url", "refers_to", "status", *named)
 
 
@@ -137,15 +145,24 @@ WITH canon AS (
     FROM canon
 ), keyed AS (
     SELECT page_id, tag, size, host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical_url FROM parts
+), responses AS (
+    SELECT canonical_url, 8 * page_id AS ts, 2 * page_id AS record_id, tag AS version, size FROM keyed
+    UNION ALL
+    SELECT canonical_url, 8 * page_id + 800, 2 * page_id + 1, CASE WHEN page_id % 2 = 0 THEN tag ELSE tag || '-2' END, size + 1 FROM keyed
 ), latest AS (
-    SELECT canonical_url, max(page_id) AS refers_to, max_by(tag, page_id) AS stored, max_by(size, page_id) AS size FROM keyed WHERE page_id % 11 <> 0 GROUP BY canonical_url
+    SELECT canonical_url, ts, max(record_id) AS record_id, max_by(version, record_id) AS version, max_by(size, record_id) AS size FROM responses GROUP BY canonical_url, ts
+), revisits AS (
+    SELECT *, 8 * page_id + [-4, 4, 804, 800][page_id % 4 + 1] AS at FROM keyed
 ), judged AS (
-    SELECT k.page_id, k.canonical_url, l.refers_to, l.size,
-           CASE WHEN l.refers_to IS NULL THEN 'orphan' WHEN k.page_id % 7 <> 0 AND k.tag = l.stored THEN 'resolved' ELSE 'mismatch' END AS status,
-           CASE WHEN k.page_id % 7 = 0 THEN '"changed"' ELSE 'W/"' || k.tag || '"' END AS etag
-    FROM keyed k LEFT JOIN latest l USING (canonical_url)
+    SELECT v.page_id, v.canonical_url, r.record_id AS refers_to, r.version, r.size, v.tag,
+           CASE WHEN r.record_id IS NULL THEN 'orphan' WHEN v.tag = r.version AND (v.page_id % 5 = 0 OR v.page_id % 7 <> 0) THEN 'resolved' ELSE 'mismatch' END AS status,
+           CASE WHEN v.page_id % 5 = 0 THEN NULL WHEN v.page_id % 7 = 0 THEN '"changed"' ELSE 'W/"' || v.tag || '"' END AS own
+    FROM revisits v ASOF LEFT JOIN latest r ON v.canonical_url = r.canonical_url AND v.at > r.ts
 )
-SELECT page_id, canonical_url, refers_to, status, etag, CASE WHEN status = 'resolved' THEN size::VARCHAR ELSE '0' END AS content_length,
+SELECT page_id, canonical_url, refers_to, status,
+       coalesce(own, CASE WHEN status = 'resolved' THEN '"' || version || '"' END) AS etag,
+       CASE WHEN status = 'resolved' THEN version WHEN page_id % 5 = 0 THEN tag END AS last_modified,
+       CASE WHEN status = 'resolved' THEN size::VARCHAR ELSE '0' END AS content_length,
        'max-age=' || page_id AS cache_control, CASE WHEN status = 'resolved' THEN 'text/html' END AS content_type
 FROM judged
 """

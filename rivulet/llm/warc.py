@@ -22,18 +22,19 @@ from __future__ import annotations
 
 import gzip
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.shared_tables import written
-from rivulet.llm.textbatch import map_batches
 
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Headers that a 304 answer does not update.
 KEPT_HEADERS = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
+#: Bytes of bodies that a reader holds before it gives them on.
+READ_BYTES = 16 << 20
 #: Query parameters that name a visit, not a page.
 TRACKING = "utm_[a-z]+|ref|gclid|fbclid|sessionid"
 
@@ -124,27 +125,55 @@ def with_payload(resolved: DataFrame, records: DataFrame, *, id_col: str = "reco
     return resolved.join(bodies, wanted == F.col("body_of"), "left").drop("body_of")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record of a WARC file, plain or gzip by member."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            d = zlib.decompressobj(31)
-            parts.append(d.decompress(data) + d.flush())
-            data = d.unused_data
-        data = b"".join(parts)
+def _members(data: bytes) -> Iterator[bytes]:
+    """The contents of a file, gzip members one by one; what follows a broken member is looked for behind it."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        size = int(fields.get("content-length", 0))
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+    while 0 <= at < len(data):
+        d = zlib.decompressobj(31)
+        try:
+            yield d.decompress(memoryview(data)[at:]) + d.flush()
+            at = len(data) - len(d.unused_data)
+        except zlib.error:
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (lower-case names) and block of each record of a WARC file, plain or gzip by member.
+
+    A record without its length, or cut short, has a field ``error`` and what there
+    is of its block; reading goes on at the next record's first line.
+    """
+    rest = b""
+    for member in _members(data):
+        rest += member
+        at = 0
+        while (at := rest.find(b"WARC/", at)) >= 0:
+            end = rest.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            fields = _fields(rest[at:end].decode("utf-8", "replace"))
+            size = fields.get("content-length", "")
+            if not size.isdecimal():
+                following = rest.find(b"\r\nWARC/", end + 4)
+                stop = len(rest) if following < 0 else following
+                yield fields | {"error": f"content-length {size!r}"}, rest[end + 4 : stop]
+            else:
+                stop = end + 4 + int(size)
+                if stop > len(rest):
+                    break  # goes on in the next member
+                yield fields, rest[end + 4 : stop]
+            at = stop
+        rest = rest[at:] if at >= 0 else b""
+    if rest:
+        head, _, block = rest.partition(b"\r\n\r\n")
+        yield _fields(head.decode("utf-8", "replace")) | {"error": "cut short"}, block
+
+
+def _fields(head: str) -> dict[str, str]:
+    return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in head.split("\r\n")[1:])}
 
 
 def http_parts(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
@@ -164,16 +193,28 @@ def record(kind: str, uri: str, date: str, block: bytes, compress: bool = True,
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: type, uri, ts (WARC-Date as text), profile, status, headers, payload."""
-    schema = "type string, uri string, ts string, profile string, status int, headers map<string,string>, payload binary"
+    """Records of WARC files: type, uri, ts (WARC-Date as text), profile, status, headers, payload, error.
+
+    A file is read whole (Spark has no other reader for binary files); its records
+    are unpacked and given on one by one.  error: null, or why a record is not sound.
+    """
+    schema = "type string, uri string, ts string, profile string, status int, headers map<string,string>, payload binary, error string"
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+    names = ["type", "uri", "ts", "profile", "status", "headers", "payload", "error"]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for data in batch.column("content").to_pylist():
-            for fields, block in parse(data):
-                status, headers, body = http_parts(block)
-                rows.append((fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-profile"), status, list(headers.items()), body))
-        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
-        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["type", "uri", "ts", "profile", "status", "headers", "payload"])
-
-    return map_batches(spark.read.format("binaryFile").load(path).select("content"), run, schema)
+        size = 0
+        for batch in batches:
+            for data in batch.column("content"):
+                for fields, block in parse(data.as_py()):
+                    status, headers, body = http_parts(block)
+                    rows.append((fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-profile"), status, list(headers.items()), body, fields.get("error")))
+                    size += len(body)
+                    if size > READ_BYTES:
+                        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+                        rows, size = [], 0
+        if rows:
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)

@@ -81,7 +81,10 @@ def test_odd_rows(spark, model):
     assert nothing is None and {r.lang_pred for r in L.identify(docs, nothing).collect()} == {"und"}
 
 
-def test_only_the_most_frequent_languages_are_learned(spark, sf, monkeypatch):
-    monkeypatch.setattr(L, "MAX_LANGS", 2)
-    langs, _ = L.fit(spark.read.parquet(f"{sf}/documents.parquet"), train=~held_out(F.col("id")))
-    assert len(langs) == 2 and "en" in langs
+def test_every_language_is_learned_from_a_small_sample(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = {r.lang for r in docs.where("lang is not null").select("lang").distinct().collect()}
+    model = L.fit(docs, train=F.lit(True), sample=10 * len(names))
+    assert set(model[0]) == names and len(names) > 2
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    assert 250 < len(L.fit(many, train=F.lit(True), sample=300)[0]) < 350

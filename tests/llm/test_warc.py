@@ -45,7 +45,11 @@ def test_query_against_sql(spark, sf):
     want = con.execute(queries.OP8_SQL)
     assert [d[0] for d in want.description] == got.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
-    assert {r.status for r in got.collect()} >= {"resolved", "mismatch", "orphan"}
+    rows = got.collect()
+    assert {r.status for r in rows} >= {"resolved", "mismatch", "orphan"}
+    # neither the latest nor the earliest response of all would do
+    assert {r.refers_to - 2 * r.page_id for r in rows if r.refers_to is not None} >= {0, 1}
+    assert any(r.status == "resolved" and r.page_id % 5 == 0 and r.last_modified for r in rows)
 
 
 def test_canonical_urls(spark):
@@ -76,3 +80,18 @@ def test_files(spark, tmp_path, compress):
     assert {(r.type, r.status, bytes(r.payload)) for r in records.collect()} == {("response", 200, b"<p>WARC/1.1\r\n\r\n</p>"), ("revisit", 304, b"")}
     r = warc.with_payload(warc.resolve_revisits(records), records).first()
     assert (r.status, r.refers_to, bytes(r.payload), r.headers["content-type"]) == ("resolved", 1, b"<p>WARC/1.1\r\n\r\n</p>", "text/html")
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_bad_records_are_kept_with_a_mark(spark, tmp_path, compress):
+    good = [warc.record("response", f"http://e.org/{k}", "2020", b"HTTP/1.1 200 OK\r\n\r\nbody", compress) for k in range(4)]
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nxyz\r\n\r\n"
+    cut = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 900\r\n\r\nHTTP/1.1 200 OK\r\n\r\nhalf"
+    pack = (lambda b: __import__("gzip").compress(b, mtime=0)) if compress else (lambda b: b)
+    broken = good[3][:12] + b"\xff\xff" + good[3][14:] if compress else b""
+    (tmp_path / "x.warc").write_bytes(good[0] + pack(bad) + good[1] + broken + good[2] + pack(cut))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.uri for r in rows if r.error is None) == [f"http://e.org/{k}" for k in range(3)]
+    assert {r.error for r in rows if r.error} == {"content-length 'many'", "cut short"}
+    assert {bytes(r.payload) for r in rows if r.error is None} == {b"body"}
