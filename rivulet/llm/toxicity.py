@@ -8,11 +8,10 @@ word do not hide it), inner digits read as the letters they stand for, and runs
 of single letters read as one word.
 
 Labels are of documents, so learning is multiple-instance: of the sentences of a
-document labelled toxic, some string is the insult.  Four-letter parts (with the
-word's beginning) that explain the toxic documents are chosen by greedy covering:
-each next one is typical of most documents that the chosen ones leave open, less
-what clean documents have of it.  Strings of toxic documents with such a part are
-positive.  Negative ones are strings of clean documents, the highest scoring of
+document labelled toxic, some string is the insult.  Parts of four to six letters
+(with the word's beginning) are chosen one after the other that toxic documents hold far more
+often than chance would have it, in strings that no chosen part explains.  Strings
+of toxic documents with such a part are positive.  Negative ones are strings of clean documents, the highest scoring of
 them first.  Landmarks are chosen among both by pivoted Cholesky steps on the kernel;
 a squared-hinge SVM is fitted to the Nyström features by Newton steps.  Kernel
 and weights fold into one table over triples, so a string costs a sum of look-ups
@@ -45,7 +44,10 @@ DECAY = 0.7
 REACH = 5  # from the first to the last letter of a triple
 LANDMARKS = 64  # of either class
 ROUNDS = 3
-TOP = 4
+#: Parts that chance alone may choose, and their lengths.
+CHANCE = 1.0
+PARTS = (4, 5, 6)
+TOP = 3
 SAMPLE = 1500
 SAMPLE_CHARS = 6000
 PIECE = 24  # letters of a longer word that are looked at together
@@ -196,7 +198,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     n1, n0 = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, p = np.c_[x, np.ones(len(x))], np.zeros(x.shape[1] + 1)
-    ridge = 0.05 * np.eye(len(p))
+    ridge = 0.005 * np.eye(len(p))
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(a @ p, -30, 30)))
         step = np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + ridge, a.T @ (t - q) - ridge @ p)
@@ -205,30 +207,36 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def typical_parts(parts: list[list[str]], held: list[np.ndarray], in_clean: np.ndarray, n_clean: int, most: int = 200) -> set[str]:
-    """Parts that, in turn, explain most strings of the toxic documents ``held``.
+    """Parts that, in turn, are most typical of strings of the toxic documents ``held``.
 
-    A string that a chosen part explains no longer counts, and a document of
-    which one is explained counts a third.
+    A part that k toxic and c clean documents hold is as typical as it would be
+    unlikely if documents held it whatever their label: at most exp(-n KL(k/n, p)),
+    n = k + c, p the share of toxic ones (Chernoff).  All parts are tried, so this has
+    to be under CHANCE by their number.  A string that a chosen part explains no
+    longer counts.
     """
     number: dict[str, int] = {}
     lists = [np.array([number.setdefault(p, len(number)) for p in ps], np.int64) for ps in parts]
     size = np.array([len(x) for x in lists])
-    against = 3 * len(held) / n_clean * np.bincount(np.concatenate(lists), np.repeat(in_clean, size), minlength=len(number))
+    against = np.bincount(np.concatenate(lists), np.repeat(in_clean, size), minlength=len(number))
     pairs = [np.unique(h) for h in held]
     string = np.concatenate(pairs)
     doc = np.repeat(np.repeat(np.arange(len(held)), [len(p) for p in pairs]), size[string])
     part = np.concatenate([lists[k] for k in string.tolist()])
     string = np.repeat(string, size[string])
-    worth, names, chosen = np.ones(len(held)), list(number), set()
+    share, names, chosen = len(held) / (len(held) + n_clean), list(number), set()
+    least = np.log(len(number) / CHANCE)
     for _ in range(most):
-        gain = np.bincount(part, worth[doc], minlength=len(number)) - against
-        best = int(gain.argmax())
-        if gain[best] < max(2.0, 0.007 * len(held)):
+        k = np.bincount(np.unique(part * len(held) + doc) // len(held), minlength=len(number))
+        n = k + against
+        mine = k / np.maximum(n, 1)
+        odds = k * np.log(np.maximum(mine, 1e-300) / share) + against * np.log(np.maximum(1 - mine, 1e-300) / (1 - share))
+        typical = np.where(mine > share, odds, 0)
+        best = int(typical.argmax())
+        if typical[best] < least:
             break
         chosen.add(names[best])
-        hit = part == best
-        worth[np.unique(doc[hit])] /= 3
-        alive = ~np.isin(string, np.unique(string[hit]))
+        alive = ~np.isin(string, np.unique(string[part == best]))
         doc, part, string = doc[alive], part[alive], string[alive]
     return chosen
 
@@ -249,7 +257,7 @@ def train(docs: list[tuple[bytes, int]], seed: int = 5) -> Model | None:
     in_clean = np.zeros(len(names))
     for h, y in zip(held_at, labels):
         in_clean[np.unique(h)] += y == 0
-    parts = [sorted({t[k : k + 4] for k in range(len(t) - 3)}) for t in (f"^{s}" for s in names)]
+    parts = [sorted({t[k : k + n] for n in PARTS for k in range(len(t) - n + 1)}) for t in (f"^{s}" for s in names)]
     typical = typical_parts(parts, [h for h, y in zip(held_at, labels) if y and len(h)], in_clean, int((labels == 0).sum()))
     count = Counter(k for h, y in zip(held_at, labels) if y for k in set(h.tolist()))
     positive = np.array([k for k, _ in count.most_common() if in_clean[k] == 0 and not typical.isdisjoint(parts[k])][:4000], np.int64)
