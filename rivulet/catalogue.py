@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_PRELUDE = """WITH ev AS (SELECT event_type AS stream_id, event_id AS seq, epoch_us(ts) AS ts_us, user_id, value, props FROM events),
+_PRELUDE = """WITH RECURSIVE ev AS (SELECT event_type AS stream_id, event_id AS seq, epoch_us(ts) AS ts_us, user_id, value, props FROM events),
 ord AS (SELECT o_orderkey AS seq, o_custkey AS custkey, epoch_us(o_orderdate) AS ts_us, o_totalprice AS price, o_orderstatus AS status FROM orders),
 emb AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
 """
@@ -346,12 +346,39 @@ def clock_rows(spark, d):
     return resample.row_slots(events(spark, d), ["user_id"], 25.0).select("user_id", "seq", "clock_us")
 
 
-@query("vsync_exact")
+_FRAMES = ", f AS (SELECT user_id, seq, ts_us, ts_us - min(ts_us) OVER (PARTITION BY user_id) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, seq) AS rn FROM ev), g AS (SELECT *, t::DOUBLE * 0.001::DOUBLE / 1000000 + sign(t) / 131072.0::DOUBLE AS x FROM f)"
+_VFR = _FRAMES + """, r AS (
+    SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS seq, 0::BIGINT AS slot, false AS shown, 0::BIGINT AS next FROM f
+    UNION ALL
+    SELECT user_id, rn, seq, slot, shown, slot + shown::INT FROM (
+        SELECT g.user_id, g.rn, g.seq, CASE WHEN x + 1 - next > 0.6 THEN round_even(greatest(x, next::DOUBLE), 0)::BIGINT ELSE next END AS slot, x + 1 - next > -0.6 AS shown
+        FROM r JOIN g ON g.user_id = r.user_id AND g.rn = r.rn + 1)
+)"""
+_CFR = _FRAMES + """, r AS (
+    SELECT DISTINCT user_id, 0::BIGINT AS rn, 0::BIGINT AS n, 0::BIGINT AS again, 0::BIGINT AS next, [0::BIGINT, 0, 0] AS last3, 0::BIGINT AS emitted FROM f
+    UNION ALL
+    SELECT user_id, rn, n, least(again, n), next + n, [least(again, n), last3[1], last3[2]], emitted + n FROM (
+        SELECT g.user_id, g.rn, next, last3, emitted, CASE WHEN x + 1 - next < -1.1 THEN 0 ELSE greatest(1, round_even(x + 1 - next, 0))::BIGINT END AS n,
+               greatest(0, round_even(CASE WHEN x < next AND x + 1 > next THEN 0 ELSE x - next END - 0.6, 0))::BIGINT AS again
+        FROM r JOIN g ON g.user_id = r.user_id AND g.rn = r.rn + 1)
+)"""
+
+
+@query("vsync_exact", _VFR + " SELECT user_id, slot, seq, false AS repeated FROM r WHERE rn > 0 AND shown")
 def vsync_exact(spark, d):
     return resample.resync(temporal.rebase(events(spark, d), ["user_id"]), ["user_id"], "vfr", 0.001)
 
 
-@query("ocr_sample")
+@query("vsync_constant", _CFR + " SELECT user_id, max(rn) AS frames_in, (max(emitted) + list_sort(max_by(last3, rn))[2])::BIGINT AS frames_out FROM r GROUP BY user_id")
+def vsync_constant(spark, d):
+    return resample.resync_report(temporal.rebase(events(spark, d), ["user_id"]), ["user_id"], "cfr", 0.001).select("user_id", "frames_in", "frames_out")
+
+
+@query("ocr_sample", _FRAMES + """, r AS (
+    SELECT user_id, rn, ts_us, seq, true AS taken, ts_us AS last FROM f WHERE rn = 1
+    UNION ALL
+    SELECT f.user_id, f.rn, f.ts_us, f.seq, f.ts_us >= last + 3600000000, CASE WHEN f.ts_us >= last + 3600000000 THEN f.ts_us ELSE last END FROM r JOIN f ON f.user_id = r.user_id AND f.rn = r.rn + 1
+) SELECT user_id, ts_us, seq FROM r WHERE taken""")
 def ocr_sample(spark, d):
     return resample.at_least_apart(events(spark, d).select("user_id", "ts_us", "seq"), ["user_id"], 3_600_000_000)
 
@@ -474,7 +501,13 @@ def mono_dts(spark, d):
     return windows.rising_dts(events(spark, d).withColumn("dts", F.floor("value")), KEY, spread=True).select("stream_id", "seq", "fixed_dts")
 
 
-@query("mux_clock")
+@query("mux_clock", """, m AS (SELECT user_id, seq, floor(value)::BIGINT AS dts, floor(value + seq % 7 - 3)::BIGINT AS pts, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM ev), r AS (
+    SELECT user_id, rn, seq, dts, pts, least(pts, dts + greatest(0, pts - dts)) AS fixed_pts, least(dts, pts) AS fixed_dts FROM m WHERE rn = 1
+    UNION ALL
+    SELECT user_id, rn, seq, dts, pts, CASE WHEN d < last + 1 AND p >= d THEN greatest(p, last + 1) ELSE p END, greatest(d, last + 1) FROM (
+        SELECT m.user_id, m.rn, m.seq, m.dts, m.pts, r.fixed_dts AS last, CASE WHEN m.dts > m.pts THEN greatest(m.pts, least(m.dts, r.fixed_dts + 1)) ELSE m.pts END AS p, CASE WHEN m.dts > m.pts THEN greatest(m.pts, least(m.dts, r.fixed_dts + 1)) ELSE m.dts END AS d
+        FROM r JOIN m ON m.user_id = r.user_id AND m.rn = r.rn + 1)
+) SELECT user_id, seq, dts, pts, fixed_pts, fixed_dts FROM r""")
 def mux_clock(spark, d):
     ev = events(spark, d).select("user_id", "seq", F.floor("value").alias("dts"), F.floor(F.col("value") + F.col("seq") % 7 - 3).alias("pts"))
     return windows.mux_clock(ev, ["user_id"])
@@ -850,7 +883,13 @@ def udf_module(spark, d):
 
 
 # --- recurrences and pixels (tests compare them with models) ------------------------------------
-@query("pts_repair")
+@query("pts_repair", """, m AS (SELECT user_id, seq, ts_us % 8589934592 AS t, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM ev), r AS (
+    SELECT user_id, rn, seq, t, 0::BIGINT AS turns, 0::BIGINT AS off, t AS fixed FROM m WHERE rn = 1
+    UNION ALL
+    SELECT user_id, rn, seq, t, turns, CASE WHEN abs(o - fixed) > 10000000 OR o - fixed < -100000 THEN off - (o - fixed) ELSE off END, CASE WHEN abs(o - fixed) > 10000000 OR o - fixed < -100000 THEN fixed ELSE o END FROM (
+        SELECT *, t + turns * 8589934592 + off AS o FROM (
+            SELECT m.user_id, m.rn, m.seq, m.t, r.off, r.fixed, CASE WHEN m.t < r.t - 4294967296 THEN r.turns + 1 WHEN m.t > r.t + 4294967296 AND r.turns <> 0 THEN r.turns - 1 ELSE r.turns END AS turns FROM r JOIN m ON m.user_id = r.user_id AND m.rn = r.rn + 1))
+) SELECT user_id, seq, t AS ts_us, fixed AS fixed_us FROM r""")
 def pts_repair(spark, d):
     ev = events(spark, d).select("user_id", "seq", F.pmod("ts_us", F.lit(1 << 33)).alias("ts_us"))
     return folds.pts_repair(ev, ["user_id"], wrap=1 << 33)

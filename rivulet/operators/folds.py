@@ -7,12 +7,13 @@ group) and the streaming form (state kept between micro-batches) share it.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.operators.sorted_fold import fold_sorted
 from rivulet.schema import SECOND
 
 TS, SEQ = "ts_us", "seq"
@@ -60,14 +61,20 @@ class ClockRepair:
 
 def pts_repair(df: DataFrame, keys: list[str], *, ts: str = TS, seq: str = SEQ, duration: str | None = None, **options) -> DataFrame:
     """df with ``fixed_us``."""
+    rest = [c for c in df.columns if c not in keys]
+    at, length = rest.index(ts), rest.index(duration) if duration else None
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, machine = pdf.sort_values(seq), ClockRepair(**options)
-        lengths = pdf[duration] if duration else [0] * len(pdf)
-        fixed = [machine.feed(None if pd.isna(t) else int(t), int(n)) for t, n in zip(pdf[ts], lengths)]
-        return pdf.assign(fixed_us=pd.array(fixed, "Int64"))
+    class Repair:
+        def __init__(self) -> None:
+            self.clock = ClockRepair(**options)
+
+        def feed(self, *row: object) -> list[tuple]:
+            return [(*row, self.clock.feed(row[at], 0 if length is None else int(row[length] or 0)))]
+
+        def end(self) -> list[tuple]:
+            return []
 
-    return df.groupBy(*keys).applyInPandas(fold, _fields(df, df.columns) + ", fixed_us long")
+    return fold_sorted(df, keys, [seq], rest, Repair, f"{_fields(df, rest)}, fixed_us long").select(*df.columns, "fixed_us")
 
 
 def connection_bases(starts: list[int], lengths: list[int], cut_off_us: int, interval_us: int) -> list[tuple[int, int | None]]:
@@ -103,8 +110,9 @@ class JitterBuffer:
     """A cache that starts to give rows when it holds enough, and fills up again when it runs low.
 
     ``put`` adds a row; ``get`` gives the row for a tick: the last one at or before
-    it, dropping those before.  When streaming begins, the first cached row is bound
-    to the tick.  Video repeats its last row while there is none; audio gives nothing.
+    it, dropping those before.  On the tick at which streaming begins, the first cached
+    row is bound to that tick, but rows are given from the next one on.  Video repeats
+    its last row while there is none; audio gives nothing.
     """
 
     def __init__(self, video: bool = True, high_us: int = 600_000, low_us: int = 400_000):
@@ -128,7 +136,8 @@ class JitterBuffer:
     def get(self, tick: int) -> object | None:
         if not self.streaming and self.times and (self.cached_us() > self.high_us or self.ended):
             self.streaming, self.offset = True, tick - self.times[0]
-        elif self.streaming and self.cached_us() < self.low_us and not self.ended:
+            return self.last if self.video else None
+        if self.streaming and self.cached_us() < self.low_us and not self.ended:
             self.streaming = False
         if not self.streaming or not self.times:
             return self.last if self.video else None
@@ -141,23 +150,28 @@ class JitterBuffer:
 
 
 def jitter_buffer(df: DataFrame, keys: list[str], ticks_us: int, *, arrival: str = "arrival_us", ts: str = TS, seq: str = SEQ, **options) -> DataFrame:
-    """keys, tick, seq of the row shown: ticks from each source's first arrival to its last."""
+    """keys, tick, seq of the row shown: ticks from each source's first arrival until its last row is shown."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, buffer, out = pdf.sort_values([arrival, seq]), JitterBuffer(**options), []
-        rows = list(zip(pdf[arrival].tolist(), pdf[ts].tolist(), pdf[seq].tolist()))
-        tick, at = rows[0][0], 0
-        while at < len(rows) or buffer.times:
-            while at < len(rows) and rows[at][0] <= tick:
-                buffer.put(rows[at][1], rows[at][2])
-                at += 1
-            if at == len(rows):
-                buffer.end()
-            out.append((*[pdf[k].iloc[0] for k in keys], tick, buffer.get(tick)))
-            tick += ticks_us
-        return pd.DataFrame(out, columns=[*keys, "tick", "seq"]).astype({"seq": "Int64"})
-
-    return df.select(*keys, arrival, ts, seq).groupBy(*keys).applyInPandas(fold, _fields(df, keys) + ", tick long, seq long")
+    class Ticks:
+        def __init__(self) -> None:
+            self.buffer, self.tick = JitterBuffer(**options), None
+
+        def feed(self, at: int, time: int, row: object) -> Iterator[tuple]:
+            self.tick = at if self.tick is None else self.tick
+            while self.tick < at:
+                yield self._get()
+            self.buffer.put(time, row)
+
+        def end(self) -> Iterator[tuple]:
+            self.buffer.end()
+            while self.buffer.times:
+                yield self._get()
+
+        def _get(self) -> tuple:
+            now, self.tick = self.tick, self.tick + ticks_us
+            return now, self.buffer.get(now)
+
+    return fold_sorted(df, keys, [arrival, seq], [arrival, ts, seq], Ticks, "tick long, seq long")
 
 
 def fold_groups(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[], Callable[[dict], list[dict]]], schema: str) -> DataFrame:

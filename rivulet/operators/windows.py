@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.operators.ordered import Run, numbered, scan
+from rivulet.operators.sorted_fold import fold_sorted
 
 TS, SEQ = "ts_us", "seq"
 
@@ -84,33 +84,54 @@ def mux_clock(df: DataFrame, keys: list[str], strict: bool = True, pts: str = "p
     Where dts > pts both become the median of pts, dts and the last dts + 1; then a
     dts under the last (+ 1 if strict) rises to it and takes a pts that isn't below it along.
     """
-    schema = df.schema.simpleString()[7:-1] + ",fixed_pts:bigint,fixed_dts:bigint"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values(seq), None, []
-        for p, d in zip(pdf[pts].tolist(), pdf[dts].tolist()):
+    rest = [f for f in df.schema if f.name not in keys]
+    names = [f.name for f in rest]
+    p_at, d_at = names.index(pts), names.index(dts)
+
+    class Clock:
+        def __init__(self) -> None:
+            self.last: int | None = None
+
+        def feed(self, *row: object) -> list[tuple]:
+            p, d = row[p_at], row[d_at]
+            if p is None or d is None:
+                return [(*row, p, d)]
+            least = None if self.last is None else self.last + strict
             if d > p:
-                p = d = sorted((p, d, last + 1))[1] if last is not None else p
-            if last is not None and d < last + strict:
-                raised = last + strict
-                p, d = max(p, raised) if p >= d else p, raised
-            last = d
-            out.append((p, d))
-        return pdf.assign(fixed_pts=[x[0] for x in out], fixed_dts=[x[1] for x in out])
+                p = d = p if self.last is None else sorted((p, d, self.last + 1))[1]
+            if least is not None and d < least:
+                p, d = max(p, least) if p >= d else p, least
+            self.last = d
+            return [(*row, p, d)]
+
+        def end(self) -> list[tuple]:
+            return []
 
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", fixed_pts long, fixed_dts long"
+    return fold_sorted(df, keys, [seq], names, Clock, out).select(*df.columns, "fixed_pts", "fixed_dts")
 
 
 def temporal_denoise(df: DataFrame, keys: list[str], pixels: str, width: int, height: int, keep: float = 0.5, order: tuple[str, ...] = (TS, SEQ)) -> DataFrame:
     """Each frame's 3 x 3 mean mixed with the frame put out before (a fold over each stream)."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, before, out = pdf.sort_values(list(order)), None, []
-        for x in pdf[pixels]:
-            frame = np.pad(np.array(x, float).reshape(height, width), 1, mode="edge")
+    rest = [f for f in df.schema if f.name not in keys]
+    names = [f.name for f in rest]
+    at = names.index(pixels)
+
+    class Mix:
+        def __init__(self) -> None:
+            self.before: np.ndarray | None = None
+
+        def feed(self, *row: object) -> list[tuple]:
+            if row[at] is None:
+                return [row]
+            frame = np.pad(np.array(row[at], float).reshape(height, width), 1, mode="edge")
             mean = sum(frame[a : a + height, b : b + width] for a in range(3) for b in range(3)) / 9
-            before = mean if before is None else keep * mean + (1 - keep) * before
-            out.append(before.ravel().tolist())
-        return pdf.assign(**{pixels: out})
+            self.before = mean if self.before is None else keep * mean + (1 - keep) * self.before
+            return [(*row[:at], self.before.ravel().tolist(), *row[at + 1 :])]
+
+        def end(self) -> list[tuple]:
+            return []
 
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    return fold_sorted(df, keys, list(order), names, Mix, out).select(*df.columns)

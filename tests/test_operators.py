@@ -117,7 +117,19 @@ def test_rate_conversion(spark):
     even = [k * 100_000 for k in range(5)]
     for method in ("cfr", "vfr", "passthrough", "vscfr"):
         assert show(even, method) == [(k, k) for k in range(5)]
-    assert show([0, 100_000, 500_000], "cfr") == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]
+    assert show([0, 100_000, 500_000], "cfr") == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2)]  # again: 0, 0, 2; median 0
+    # slots 0, 4, 8, 12: each frame comes three slots late, shows the one before twice and itself twice; again 0, 2, 2, 2
+    assert show([0, 400_000, 800_000, 1_200_000], "cfr") == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1), (7, 2), (8, 2), (9, 2), (10, 2), (11, 3), (12, 3), (13, 3), (14, 3)]
+    assert show([300_000, 400_000], "vscfr") == [(3, 0), (4, 1)] and show([300_000, 400_000], "cfr")[:3] == [(0, 0), (1, 0), (2, 0)]
+    assert show([0, 130_000, 170_000, 290_000], "vfr") == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    assert show([0, 10_000, 20_000, 30_000], "vfr") == [(0, 0), (1, 1)]  # the third ends 0.8 slots before the next
+    assert show([0, 90_000, 95_000], "passthrough") == [(0, 0), (1, 1), (1, 2)]
+    assert show(even[:2], "cfr", min_frames=4) == [(0, 0), (1, 1), (2, 1), (3, 1)]
+    report = lambda t, m, **o: resample.resync_report(df(t), ["g"], m, 10.0, **o).first()[1:]
+    assert report([0, 400_000, 800_000, 1_200_000], "cfr") == (4, 15, 0, 11)
+    assert report([0, 10_000, 20_000, 30_000], "vfr") == (4, 2, 2, 0)
+    assert report([0, 10**13], "cfr") == (2, 1, 1, 0)  # too many copies: the frame is left out
+    assert resample.output_rate_mode("mp4") == "cfr" and resample.output_rate_mode("mp4", max_rate=30) == "vfr" and resample.output_rate_mode("flv", variable_rate=True, no_timestamps=True) == "passthrough"
     assert show([0, 100_000, 500_000], "vfr") == [(0, 0), (1, 1), (5, 2)]
     assert len(show([k * 20_000 for k in range(50)], "cfr")) in (10, 11, 12)
     assert len(show(even, "cfr", max_frames=3)) == 3
@@ -152,10 +164,10 @@ def test_jitter_buffer():
         b.put(t, t)
     assert b.get(1000) is None  # 50 is not over 50
     b.put(60, 60)
-    assert [b.get(1000 + t) for t in (0, 25, 30)] == [0, 20, 30]
+    assert [b.get(1000 + t) for t in (0, 25, 30)] == [None, 20, 30]  # the first of these only binds the clock
     assert b.get(1050) == 50 and b.get(1060) == 50  # 10 cached: filling up again
     b.end()
-    assert b.get(1060) == 60 and b.get(1070) == 60
+    assert b.get(1060) == 50 and b.get(1070) == 60
     assert folds.JitterBuffer(video=False).get(5) is None
 
 
