@@ -7,6 +7,7 @@ few, large keys, so their running values are spread over partitions (see
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from rivulet.operators.ordered import as_of
 from rivulet.plans import graph
 from rivulet.plans.modules import Module
 from rivulet.schema import micros
+from rivulet.shared import folder
 from rivulet.sources import readers, sinks
 from rivulet.stream import Stream
 
@@ -540,6 +542,51 @@ def trace_frequency(spark, d):
     return trace.frequencies(log(spark, d))
 
 
+@query("caption_rouge", r""", t AS (SELECT a.item_id, list_filter(string_split_regex(lower(coalesce(a.text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS a, list_filter(string_split_regex(lower(coalesce(b.text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS b FROM benchmark a LEFT JOIN benchmark b ON b.item_id + 1 = a.item_id),
+c AS (SELECT item_id, len(a) AS na, len(b) AS nb, coalesce(list_sum(list_transform(list_intersect(list_distinct(a), list_distinct(b)), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))), 0) AS n FROM t)
+SELECT item_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE 2 * n / (na + nb) END, 6) AS rouge1 FROM c""")
+def caption_rouge(spark, d):
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    before = items.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("reference"))
+    return aggregate.text_scores(items.join(before, "item_id", "left"), "text", "reference").select("item_id", F.round("rouge1", 6).alias("rouge1"))
+
+
+@query("black_frames", "SELECT vec_id, floor(100 * len(list_filter(e, lambda x: abs(x) * 255 < 32)) / len(e))::INT AS pblack FROM emb")
+def black_frames(spark, d):
+    return vectors(spark, d).select("vec_id", S.black_share(F.transform("e", lambda x: F.abs(x) * 255)).alias("pblack"))
+
+
+@query("type_hash", "SELECT count(DISTINCT stream_id) AS names, count(DISTINCT hash(stream_id)) AS hashes FROM ev")
+def type_hash(spark, d):
+    return events(spark, d).agg(F.count_distinct("stream_id").alias("names"), F.count_distinct(S.type_hash(F.col("stream_id"))).alias("hashes"))
+
+
+@query("tensor_strided", "SELECT vec_id, list_transform(range(12), lambda k: round(e[(k // 3) * 4 + (k % 3) * 2 + 3], 6)) AS view, list_transform(range(6), lambda k: round(e[k // 3 + 1], 6)) AS wide FROM emb")
+def tensor_strided(spark, d):
+    six = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    return vectors(spark, d).select("vec_id", six(tensor.as_strided(F.col("e"), [4, 3], [4, 2], 2)).alias("view"), six(tensor.expand(F.slice("e", 1, 2), [2, 1], [2, 3])).alias("wide"))
+
+
+@query("adelay_silence", ", s AS (SELECT stream_id, min(ts_us) AS lo FROM ev GROUP BY 1) SELECT stream_id, seq, ts_us + 1500000 AS ts_us, value FROM ev UNION ALL SELECT stream_id, k - 38, lo + k * 40000, 0 FROM s, range(38) r(k)")
+def adelay_silence(spark, d):
+    return temporal.delay_with_silence(events(spark, d).select("stream_id", "seq", "ts_us", "value"), KEY, 1500, 40_000)
+
+
+@query("snk_encode", "SELECT stream_id, seq, ts_us, ts_us // 86400000000 AS segment FROM ev")
+def snk_encode(spark, d):
+    """Written by job and segment, and read back."""
+    prefix = f"{folder(spark).rstrip('/')}/encoded-{uuid.uuid4().hex}"
+    done = sinks.encode(events(spark, d).select("stream_id", "seq", "ts_us"), prefix=prefix, job=7, segment_us=DAY).first()
+    return spark.read.parquet(done.path).select("stream_id", "seq", "ts_us", F.col("segment").cast("long").alias("segment"))
+
+
+@query("snk_result_row", "SELECT true AS written, 1::BIGINT AS ts_us, count(*) AS rows FROM ev")
+def snk_result_row(spark, d):
+    path = sinks.output_path(f"{folder(spark).rstrip('/')}/result-{uuid.uuid4().hex}", 3)
+    row = sinks.encode(events(spark, d).select("stream_id", "seq", "ts_us"), path)
+    return row.crossJoin(spark.read.parquet(path).agg(F.count("*").alias("rows"))).select(F.col("path").endswith("/3/output.mp4").alias("written"), "ts_us", "rows")
+
+
 @query("trace_queue", _LOG + " SELECT name, max(seq % 32) AS \"limit\", (sum(seq % 5) // count(*))::BIGINT AS avg_size, max(seq % 5) AS max_size FROM lg GROUP BY 1")
 def trace_queue(spark, d):
     return trace.queues(log(spark, d), F.col("seq") % 5, F.col("seq") % 32)

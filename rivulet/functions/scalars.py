@@ -71,3 +71,13 @@ def merge_patch(base: Column, patch: Column) -> Column:
 def channels(layout: Column) -> Column:
     """Channels of a layout bit mask, without bit 63 (native order)."""
     return F.bit_count(layout.bitwiseAND(F.lit(2**63 - 1)))
+
+
+def type_hash(name: Column) -> Column:
+    """A hash of a type's name; only its equality means something."""
+    return F.xxhash64(name)
+
+
+def black_share(luma: Column, threshold: float = 32) -> Column:
+    """Per cent of a frame's values under the threshold, in whole numbers."""
+    return F.floor(100 * F.size(F.filter(luma, lambda x: x < threshold)) / F.size(luma)).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,6 +69,59 @@ def evaluation_means(df: DataFrame, keys: list[str], measures: list[str]) -> Dat
     return whole.groupBy(*keys).agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in measures])
 
 
+def text_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def rouge1(candidate: Column, reference: Column) -> Column:
+    """F-measure of the words two texts share, each as often as in both; 0 if either has none."""
+    a, b = text_words(candidate), text_words(reference)
+    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    shared = F.aggregate(F.transform(F.array_intersect(a, b), lambda w: F.least(count(a, w), count(b, w))), F.lit(0), lambda s, n: s + n)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * shared / (F.size(a) + F.size(b)))
+
+
+def bleu_of(candidate: list[str], reference: list[str], most: int = 4) -> float:
+    """Geometric mean of clipped n-gram precisions up to ``most`` (0 if any is), times the brevity penalty."""
+    logs = 0.0
+    for n in range(1, most + 1):
+        a, b = (Counter(zip(*(words[k:] for k in range(n)))) for words in (candidate, reference))
+        shared, total = sum((a & b).values()), sum(a.values())
+        if not shared:
+            return 0.0
+        logs += np.log(shared / total) / most
+    return float(np.exp(logs + min(0.0, 1 - len(reference) / len(candidate))))
+
+
+def meteor_of(candidate: list[str], reference: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """Weighted harmonic mean of exact word matches, less a penalty for the number of runs they come in (no stems or synonyms).
+
+    Words are matched in order, each with its first free place.
+    """
+    free: dict[str, list[int]] = {}
+    for k, w in reversed(list(enumerate(reference))):
+        free.setdefault(w, []).append(k)
+    places = [(k, free[w].pop()) for k, w in enumerate(candidate) if free.get(w)]
+    if not places:
+        return 0.0
+    precision, recall = len(places) / len(candidate), len(places) / len(reference)
+    chunks = 1 + sum(b != (a[0] + 1, a[1] + 1) for a, b in zip(places, places[1:]))
+    return precision * recall / (alpha * precision + (1 - alpha) * recall) * (1 - gamma * (chunks / len(places)) ** beta)
+
+
+def text_scores(df: DataFrame, candidate: str, reference: str) -> DataFrame:
+    """df with bleu, rouge1 and meteor of a text against another; null texts have no words."""
+
+    def each(score):
+        @F.pandas_udf("double")
+        def run(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([score(list(x), list(y)) for x, y in zip(a, b)], dtype=float)
+
+        return run(text_words(F.col(candidate)), text_words(F.col(reference)))
+
+    return df.withColumns({"bleu": each(bleu_of), "rouge1": rouge1(F.col(candidate), F.col(reference)), "meteor": each(meteor_of)})
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.ordered import Run, as_of, numbered, scan
+from rivulet.operators.ordered import Run, as_of, join_on, numbered, scan
 
 TS, SEQ = "ts_us", "seq"
 
@@ -46,7 +46,7 @@ def framesync(sync: DataFrame, other: DataFrame, keys: list[str], ts: str = TS,
     b = other.select(*keys, ts, F.col(seq).alias("_seq"), F.lit(0).alias("_side"), F.lit(None).cast(a_type).alias("_a"), b_row.alias("_b"))
     both = scan(a.unionAll(b), keys, [ts, "_side", "_seq"], {"a": Run("last", F.col("_a")), "b": Run("last", F.col("_b"))}, spread=spread)
     end = sync.groupBy(*keys).agg(F.max(ts).alias("_end"))
-    late = both.where("_side = 0").join(end, keys).where(F.col(ts) > F.col("_end")) if keys else both.where("_side = 0").crossJoin(end).where(F.col(ts) > F.col("_end"))
+    late = join_on(both.where("_side = 0"), end, keys).where(F.col(ts) > F.col("_end"))
     out = [*keys, ts, "a", "b"]
     return both.where("_side = 1").select(*out).unionAll(late.select(*out))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators.ordered import numbered
+from rivulet.operators.ordered import join_on, numbered
 
 TS, SEQ = "ts_us", "seq"
 
@@ -18,7 +18,7 @@ def concat(df: DataFrame, segment: str, frame_us: int, ts: str = TS) -> DataFram
     spans = df.groupBy(segment).agg((F.max(ts) + frame_us).alias("_length"))
     before = Window.partitionBy(F.lit(1)).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select(segment, F.coalesce(F.sum("_length").over(before), F.lit(0)).alias("_offset"))
-    return df.join(offsets, segment).withColumn(ts, F.col(ts) + F.col("_offset")).drop("_offset")
+    return join_on(df, offsets, [segment]).withColumn(ts, F.col(ts) + F.col("_offset")).drop("_offset")
 
 
 def copies(df: DataFrame, n: int) -> DataFrame:
@@ -62,7 +62,7 @@ def sequence_inputs(df: DataFrame, input_no: str, order: tuple[str, ...] = (TS,
     w = Window.partitionBy(F.lit(1)).orderBy(input_no)
     offsets = counts.select(input_no, F.row_number().over(w).alias("_ahead"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("_inputs"), F.coalesce(F.sum("_rest").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.when(F.col("_rn") == 1, F.col("_ahead")).otherwise(F.col("_inputs") + F.col("_before") + F.col("_rn") - 1).cast("long")
-    return rows.join(offsets, input_no).withColumn("position", place).select(*df.columns, "position")
+    return join_on(rows, offsets, [input_no]).withColumn("position", place).select(*df.columns, "position")
 
 
 def files(df: DataFrame, paths: str = "paths") -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,15 @@ from pyspark.sql import functions as F
 from rivulet.shared import written
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys in which null equals null, as it does in a window or a group."""
+    if not keys:
+        return left.crossJoin(right)  # one row, as there is one stream
+    named = right.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)]
+    return left.join(named, reduce(and_, same), how).drop(*[f"_key{n}" for n in range(len(keys))])
+
+
 @dataclass(frozen=True)
 class Run:
     """kind: number (of rows), sum, max, min or last (value that isn't null).

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators.ordered import Run, numbered, scan
+from rivulet.operators.ordered import Run, join_on, numbered, scan
 from rivulet.schema import SECOND
 
 TS = "ts_us"
@@ -29,9 +31,10 @@ def time_range(df: DataFrame, start_us: int, end_us: int, *, copyts: bool = Fals
 
 
 def clips(df: DataFrame, durations: list[int], ts: str = TS) -> DataFrame:
-    """Rows of each interval of [s0, e0, s1, e1, ...], with clip_id; an odd or falling list is refused."""
+    """Rows of each interval of [s0, e0, s1, e1, ...], with clip_id; an odd or falling list is logged and ignored (clip_id is null)."""
     if len(durations) % 2 or any(a > b for a, b in zip(durations, durations[1:])):
-        raise ValueError("durations must have an even number of values that never fall")
+        logging.getLogger("rivulet").error("durations must have an even number of values that never fall: %s", durations)
+        return df.withColumn("clip_id", F.lit(None).cast("int"))
     ids = [F.when((F.col(ts) >= a) & (F.col(ts) < b), k) for k, (a, b) in enumerate(zip(durations[::2], durations[1::2]))]
     return df.withColumn("clip_id", F.explode(F.filter(F.array(*ids), lambda x: x.isNotNull())))
 
@@ -50,13 +53,24 @@ def rebase(df: DataFrame, keys: list[str], ts: str = TS) -> DataFrame:
     The first times are one row a key, joined back: no stream is gathered.
     """
     first = df.groupBy(*keys).agg(F.min(ts).alias("_first"))
-    return df.join(first, keys).withColumn(ts, F.col(ts) - F.col("_first")).drop("_first")
+    return join_on(df, first, keys).withColumn(ts, F.col(ts) - F.col("_first")).drop("_first")
 
 
 def delay(df: DataFrame, ms: int, ts: str = TS) -> DataFrame:
     return shift(df, ms * 1000, ts)
 
 
+def delay_with_silence(df: DataFrame, keys: list[str], ms: int, frame_us: int, value: str = "value", ts: str = TS, seq: str = "seq") -> DataFrame:
+    """The rows ``ms`` later, and before them rows of value 0 at every ``frame_us`` from each stream's first time on (seq below 0)."""
+    starts = df.groupBy(*keys).agg(F.min(ts).alias("_first")).where("_first is not null")
+    n = -(-ms * 1000 // frame_us)
+    silent = starts.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)) if n > 0 else F.array().cast("array<int>")))
+    made = {ts: F.col("_first") + F.col("_k") * frame_us, seq: F.col("_k") - n, value: F.lit(0)}
+    types = dict(df.dtypes)
+    rows = silent.select(*[F.col(c) if c in keys else made.get(c, F.lit(None)).cast(types[c]).alias(c) for c in df.columns])
+    return rows.unionAll(delay(df, ms, ts))
+
+
 def fade(df: DataFrame, kind: str, start: float, duration: float, value: str = "value", ts: str = TS) -> DataFrame:
     """A linear gain: from 0 to 1 (in) or 1 to 0 (out) over ``duration`` from ``start`` on."""
     rise = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(ts) - _us(start)) / _us(duration)))
@@ -102,13 +116,13 @@ def skip_frames(df: DataFrame, level: int, column: str = "frame_class") -> DataF
 
 
 def max_size(df: DataFrame, most: int, width: str = "width", height: str = "height", max_hits: int | None = None) -> DataFrame:
-    """Rows of which both sides are under ``most``; more than ``max_hits`` others are an error."""
+    """Rows of which both sides are under ``most``; ``max_hits`` others or more are an error when the plan runs."""
     fits = (F.col(width) < most) & (F.col(height) < most)
-    if max_hits is not None:
-        hits = df.where(~fits).limit(max_hits + 1).count()
-        if hits >= max_hits:
-            raise ValueError(f"{hits} rows reach {most}")
-    return df.where(fits)
+    if max_hits is None:
+        return df.where(fits)
+    hits = df.where(~fits).agg(F.count("*").alias("_hits"))  # one row
+    fine = F.when(F.col("_hits") < max_hits, True).otherwise(F.raise_error(F.concat(F.col("_hits").cast("string"), F.lit(f" rows reach {most}"))).cast("boolean"))
+    return df.where(fits).crossJoin(F.broadcast(hits)).where(fine).drop("_hits")
 
 
 def loop(df: DataFrame, keys: list[str], size: int, times: int, period_us: int, ts: str = TS, order: tuple[str, ...] = (TS, "seq"), *, spread: bool = False) -> DataFrame:

@@ -118,6 +118,50 @@ def permute(x: Column, shape: list[int], axes: list[int]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(total - 1)), source)
 
 
+def squeeze(shape: list[int], dim: int | None = None) -> list[int]:
+    """The shape without its sides of 1, or without side ``dim`` if that is 1; the data stays."""
+    if dim is not None:
+        dim %= len(shape)
+    return [n for k, n in enumerate(shape) if n != 1 or (dim is not None and k != dim)]
+
+
+def unsqueeze(shape: list[int], dim: int) -> list[int]:
+    """The shape with a side of 1 at ``dim``; the data stays."""
+    dim = dim if dim >= 0 else dim + len(shape) + 1
+    return [*shape[:dim], 1, *shape[dim:]]
+
+
+def as_strided(x: Column, shape: list[int], strides: list[int], offset: int = 0) -> Column:
+    """The data of a view: element (i, j, ...) is the source's at offset + sum of index * stride."""
+    total = 1
+    for n in shape:
+        total *= n
+
+    def source(k: Column) -> Column:
+        at, rest = F.lit(offset), k
+        for n, stride in reversed(list(zip(shape, strides))):
+            at, rest = at + (rest % n) * stride, F.floor(rest / n)
+        return F.element_at(x, (at + 1).cast("int"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(total - 1)), source) if total else F.slice(x, 1, 0)
+
+
+def expand(x: Column, shape: list[int], new: list[int]) -> Column:
+    """The data with sides of 1 repeated to those of ``new``."""
+    if len(shape) != len(new) or any(a not in (1, b) for a, b in zip(shape, new)):
+        raise ValueError(f"{shape} does not expand to {new}")
+    strides, step = [], 1
+    for a, b in reversed(list(zip(shape, new))):
+        strides.append(0 if a != b else step)
+        step *= a
+    return as_strided(x, new, strides[::-1])
+
+
+def vstack(*parts: Column) -> Column:
+    """Matrices of equal width, one above the other."""
+    return F.concat(*parts)
+
+
 def concat(*parts: Column) -> Column:
     return F.concat(*parts)
 

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names it; only where that is unset (tests, a laptop) is
-a temporary folder made.  A written table outlives lost executors, is columnar,
+``spark.checkpoint.dir`` names it; only in local mode (tests, a laptop) is a
+temporary folder made where that is unset: on a cluster nobody else could read it.  A written table outlives lost executors, is columnar,
 and gives the optimizer its size.
 """
 
@@ -18,6 +18,8 @@ def folder(spark: SparkSession) -> str:
 
 
 def _own(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rivulet-"))
     return spark.sparkContext.getCheckpointDir()
 

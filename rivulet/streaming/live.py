@@ -112,13 +112,16 @@ def jitter_buffer(stream: DataFrame, keys: list[str], ticks_us: int, *, arrival:
 
 
 def with_resets(stream: DataFrame, work: Callable[[DataFrame, dict[str, str]], DataFrame], control: str, path: str, checkpoint: str):
-    """A running query whose options are read anew from a control table (key, value, version) before each micro-batch."""
+    """A running query whose options are read anew from a control table (key, value, version) before each micro-batch.
+
+    Each batch is a partition of ``path`` of its own (batch_no) and replaces it, so a batch that is tried again leaves its rows once.
+    """
     spark = stream.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
         newest = spark.read.parquet(control).groupBy("key").agg(F.max_by("value", "version").alias("value"))
-        options = {r.key: r.value for r in newest.limit(1000).collect()}
-        work(df, options).withColumn("batch_no", F.lit(number)).write.mode("append").parquet(path)
+        options = {r.key: r.value for r in newest.collect()}  # one row for each option name
+        work(df, options).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_no={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import aggregate, align, combine, folds, layout, resample, temporal, windows
+from rivulet.operators import aggregate, align, combine, folds, layout, resample, temporal, tensor, windows
 from rivulet.operators.ordered import Run, as_of, numbered, scan
 
 A, B = [(0, 0), (10, 1), (20, 2)], [(5, 0), (10, 1), (25, 2)]
@@ -75,16 +75,41 @@ def test_temporal_edges(spark):
     df = stream(spark, [("a", t * 1_000_000, t, 10.0) for t in range(10)], "stream_id string, ts_us long, seq long, value double")
     assert [r.value for r in temporal.fade(df, "in", 2, 4).orderBy("seq").collect()] == [0, 0, 0, 2.5, 5, 7.5, 10, 10, 10, 10]
     assert temporal.trim(df, 2, 4).count() == 2 and temporal.trim(df, 2, duration=3).count() == 3
-    with pytest.raises(ValueError):
-        temporal.clips(df, [1, 2, 3])
+    assert {r.clip_id for r in temporal.clips(df, [1, 2, 3]).collect()} == {None} and temporal.clips(df, [5, 2]).count() == 10
     with pytest.raises(ValueError):
         temporal.limit(df, ["stream_id"], -1)
-    with pytest.raises(ValueError):
-        temporal.max_size(df.withColumn("h", F.lit(1)), 5, "seq", "h", max_hits=3)
+    with pytest.raises(Exception, match="5 rows reach 5"):
+        temporal.max_size(df.withColumn("h", F.lit(1)), 5, "seq", "h", max_hits=3).collect()
+    assert temporal.max_size(df.withColumn("h", F.lit(1)), 5, "seq", "h", max_hits=6).count() == 5
     assert temporal.skip_frames(df, 48).count() == 0 and temporal.stretch(df, 0.5).agg(F.max("ts_us")).first()[0] == 4_500_000
     assert [r.loop_no for r in temporal.loop(df, ["stream_id"], 2, 2, 1).orderBy("seq", "loop_no").collect()][:7] == [0, 1, 2, 0, 1, 2, 2]
 
 
+def test_null_keys_are_one_stream(spark):
+    df = stream(spark, [(None, 5, 1, 1.0), (None, 9, 2, 2.0), ("a", 7, 3, 3.0)], "k string, ts_us long, seq long, v double")
+    assert sorted((r.seq, r.ts_us) for r in temporal.rebase(df, ["k"]).collect()) == [(1, 0), (2, 4), (3, 0)]
+    assert combine.concat(df, "k", 1).count() == 3 and align.framesync(df, df.withColumn("ts_us", F.col("ts_us") + 10), ["k"]).count() == 6
+    assert resample.resync(df, ["k"], "passthrough", 1e6).count() == 3 and resample.resync(df.drop("k"), [], "passthrough", 1e6).count() == 3
+    assert resample.at_least_apart(df, ["k"], 3).count() == 3
+
+
+def test_text_scores(spark):
+    df = stream(spark, [("the cat sat on the mat", "the cat sat on the mat"), ("the the cat", "the cat"), ("a b", "c d"), (None, "x")], "a string, b string")
+    rows = aggregate.text_scores(df, "a", "b").collect()
+    assert [round(r.rouge1, 4) for r in rows] == [1.0, 0.8, 0.0, 0.0] and [round(r.bleu, 4) for r in rows] == [1.0, 0.0, 0.0, 0.0]
+    assert round(rows[0].meteor, 4) == round(1 - 0.5 / 6**3, 4) and rows[2].meteor == rows[3].meteor == 0
+    assert round(aggregate.bleu_of("a b c d e".split(), "a b c d f".split()), 4) == round((4 / 5 * 3 / 4 * 2 / 3 * 1 / 2) ** 0.25, 4)
+
+
+def test_tensor_shapes(spark):
+    assert tensor.squeeze([1, 3, 1]) == [3] and tensor.squeeze([1, 3, 1], 0) == [3, 1] and tensor.squeeze([2, 1], 0) == [2, 1]
+    assert tensor.unsqueeze([2, 3], 0) == [1, 2, 3] and tensor.unsqueeze([2, 3], -1) == [2, 3, 1]
+    df = stream(spark, [([1.0, 2.0, 3.0, 4.0],)], "x array<double>")
+    show = lambda c: df.select(c.alias("y")).first().y
+    assert show(tensor.expand(F.col("x"), [1, 4], [2, 4])) == [1, 2, 3, 4] * 2 and show(tensor.as_strided(F.col("x"), [3, 2], [1, 1])) == [1, 2, 2, 3, 3, 4]
+    assert show(tensor.vstack(F.col("x"), F.col("x"))) == [1, 2, 3, 4] * 2
+
+
 def test_windows_literal(spark):
     df = stream(spark, [(1, k, k, k) for k in (1, 2, 3)], "g int, ts_us long, seq long, v long")
     assert [r.around for r in windows.margin(df, ["g"], "v", 3).orderBy("seq").collect()] == [[1, 1, 2], [1, 2, 3], [2, 3, 3]]
