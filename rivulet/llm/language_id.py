@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm.shared_tables import written
 from rivulet.llm.textbatch import map_batches, pick, runs, utf8
 
 WINDOW = 256
@@ -181,7 +182,8 @@ def fit(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: str
     rows = rows.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     per = F.least(F.lit(per_lang), F.lit(sample) / F.col("langs"))
-    shares = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("langs")))).select(F.col("lang").alias("_lang"), (per / F.col("n")).alias("share"))  # one row a language
+    shares = counts.crossJoin(F.broadcast(counts.agg(F.count("*").alias("langs")))).select(F.col("lang").alias("_lang"), (per / F.col("n")).alias("share"))
+    shares = written(shares, "languages")  # one row a language: of known size, so that texts are not shuffled to it
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     place = (F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("text") - EXCERPT, F.lit(1))) + 1).cast("int")
     drawn = rows.join(shares, F.col("lang") == F.col("_lang")).where(draw < F.col("share")).select("lang", F.array(F.substring("text", 1, EXCERPT), F.substr("text", place, F.lit(EXCERPT))).alias("parts"))
