@@ -79,11 +79,12 @@ def crawl_of(pages: DataFrame) -> DataFrame:
     every other page, and a not-modified revisit under another form of its URL, which comes before both, between
     them, after both, or at the time of the second.  Of five revisits four give an ETag, one Last-Modified only;
     every 7th has the ETag of something else.  Pages of one canonical URL meet each other's responses."""
-    page, tag = F.col("page_id"), F.md5("html")
+    page, tag = F.col("page_id"), F.col("tag")
+    pages = pages.select("page_id", "url", F.md5("html").alias("tag"), F.octet_length("html").alias("size"))
 
     def first_or_second(n: int) -> Column:
         version = F.when((page % 2 == 0) | F.lit(n == 0), tag).otherwise(F.concat(tag, F.lit("-2")))
-        headers = F.create_map(F.lit("ETag"), F.concat(F.lit('"'), version, F.lit('"')), F.lit("Last-Modified"), version, F.lit("Content-Length"), (F.octet_length("html") + n).cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Type"), F.lit("text/html"))
+        headers = F.create_map(F.lit("ETag"), F.concat(F.lit('"'), version, F.lit('"')), F.lit("Last-Modified"), version, F.lit("Content-Length"), (F.col("size") + n).cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"), F.lit("Content-Type"), F.lit("text/html"))
         return F.struct((2 * page + n).alias("record_id"), F.col("url").alias("uri"), (8 * page + 800 * n).alias("ts"), F.lit("response").alias("type"), headers.alias("headers"))
 
     own = F.when(page % 7 == 0, F.lit('"changed"')).otherwise(F.concat(F.lit('W/"'), tag, F.lit('"')))
