@@ -441,10 +441,21 @@ def file_md5(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5("html").alias("md5"))
 
 
-@query("nms")
+_SIDE = "abs(e[{0} * 4 + {1}]) * 50 + {2}"
+_LOW, _HIGH = ([_SIDE.format("{0}", k + at, plus) for k in (1, 2)] for at, plus in ((0, 0), (2, 60)))
+_AREA = f"(({_HIGH[0]}) - ({_LOW[0]}) + 1) * (({_HIGH[1]}) - ({_LOW[1]}) + 1)"
+_BOTH = " * ".join(f"greatest(0, least({b.format('b')}, {b.format('x[1]')}) - greatest({a.format('b')}, {a.format('x[1]')}) + 1)" for a, b in zip(_LOW, _HIGH))
+
+
+@query(
+    "nms",
+    ", ranked AS (SELECT vec_id, e, list_sort([{'s': -abs(e[49 + k]), 'k': k} for k in range(12)]) AS o FROM emb)"
+    f" SELECT vec_id, list_reduce([[x.k::INT] for x in o], lambda kept, x: CASE WHEN len([b for b in kept if ({_BOTH}) / (({_AREA.format('b')}) + ({_AREA.format('x[1]')}) - ({_BOTH})) >= 0.5]) > 0 THEN kept ELSE kept || x END) AS kept FROM ranked",
+)
 def nms(spark, d):
+    """Twelve boxes of four values each, with twelve scores; the last four values are not needed."""
     box = lambda k: F.array(*[F.abs(F.get("e", F.lit(4 * k + j))) * 50 + (60 if j > 1 else 0) for j in range(4)])
-    v = vectors(spark, d).select("vec_id", F.array(*[box(k) for k in range(4)]).alias("boxes"), F.transform(F.slice("e", 17, 4), F.abs).alias("scores"))
+    v = vectors(spark, d).select("vec_id", F.array(*[box(k) for k in range(12)]).alias("boxes"), F.transform(F.slice("e", 49, 12), F.abs).alias("scores"))
     return aggregate.nms(v).select("vec_id", "kept")
 
 
@@ -669,9 +680,9 @@ def tensor_slice(spark, d):
     return vectors(spark, d).select("vec_id", F.transform(tensor.slice_(F.col("e"), 2, 8, 2), lambda x: F.round(x, 6)).alias("part"))
 
 
-@query("tensor_transpose", "SELECT vec_id, [round(e[i], 6) for i in [1, 5, 9, 13, 2, 6, 10, 14, 3, 7, 11, 15, 4, 8, 12, 16]] AS part FROM emb")
+@query("tensor_transpose", "SELECT vec_id, [round(e[i % 8 * 8 + i // 8 + 1], 6) for i in range(64)] AS part FROM emb")
 def tensor_transpose(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(tensor.transpose(F.slice("e", 1, 16), (4, 4)), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(tensor.transpose(F.col("e"), (8, 8)), lambda x: F.round(x, 6)).alias("part"))
 
 
 @query("tensor_create", "SELECT range(2, 11, 3) AS a, [0.0::DOUBLE, 0.0, 0.0] AS z, [7.0::DOUBLE, 7.0] AS f FROM region WHERE r_regionkey = 0")
@@ -698,14 +709,14 @@ def blend(spark, d):
     return both.select("vec_id", _summed(tensor.blend(F.col("e"), F.col("f"), 0.25)))
 
 
-@query("mirror", "SELECT vec_id, [round(e[i], 6) for i in [4, 3, 2, 1, 8, 7, 6, 5]] AS part FROM emb")
+@query("mirror", "SELECT vec_id, [round(e[i // 8 * 8 + 8 - i % 8], 6) for i in range(64)] AS part FROM emb")
 def mirror(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(tensor.mirror(F.slice("e", 1, 8), 4), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(tensor.mirror(F.col("e"), 8), lambda x: F.round(x, 6)).alias("part"))
 
 
-@query("image_transfer", "SELECT vec_id, [round(e[i], 6) for i in [1, 5, 9, 2, 6, 10, 3, 7, 11, 4, 8, 12]] AS part FROM emb")
+@query("image_transfer", "SELECT vec_id, [round(e[i % 4 * 16 + i // 4 + 1], 6) for i in range(64)] AS part FROM emb")
 def image_transfer(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(tensor.nchw_to_nhwc(F.slice("e", 1, 12), 3, 2, 2), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(tensor.nchw_to_nhwc(F.col("e"), 4, 4, 4), lambda x: F.round(x, 6)).alias("part"))
 
 
 # --- layouts ------------------------------------------------------------------------
@@ -841,15 +852,15 @@ def pass_through(spark, d):
     return Stream(events(spark, d)).pass_through().df.select("seq", "ts_us", "value")
 
 
-@query("vflip", "SELECT vec_id, [round(e[i], 6) for i in [5, 6, 7, 8, 1, 2, 3, 4]] AS part FROM emb")
+@query("vflip", "SELECT vec_id, [round(e[(7 - i // 8) * 8 + i % 8 + 1], 6) for i in range(64)] AS part FROM emb")
 def vflip(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(tensor.mirror(F.slice("e", 1, 8), 4, "vertical"), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(tensor.mirror(F.col("e"), 8, "vertical"), lambda x: F.round(x, 6)).alias("part"))
 
 
-@query("crop", "SELECT vec_id, [round(e[i], 6) for i in [6, 7, 10, 11]] AS part FROM emb")
+@query("crop", "SELECT vec_id, [round(e[(i // 4 + 2) * 8 + i % 4 + 3], 6) for i in range(16)] AS part FROM emb")
 def crop(spark, d):
-    rows = F.slice(tensor.reshape(F.slice("e", 1, 16), (4, 4)), 2, 2)
-    return vectors(spark, d).select("vec_id", F.transform(F.flatten(F.transform(rows, lambda r: F.slice(r, 2, 2))), lambda x: F.round(x, 6)).alias("part"))
+    rows = F.slice(tensor.reshape(F.col("e"), (8, 8)), 3, 4)
+    return vectors(spark, d).select("vec_id", F.transform(F.flatten(F.transform(rows, lambda r: F.slice(r, 3, 4))), lambda x: F.round(x, 6)).alias("part"))
 
 
 @query("robot_echo", "SELECT vec_id, round(list_sum([e[i] + CASE WHEN i > 4 THEN e[greatest(i - 4, 1)] * 0.5 ELSE 0 END for i in range(1, len(e) + 1)]), 4) AS total FROM emb")
@@ -942,7 +953,14 @@ def pts_repair(spark, d):
     return folds.pts_repair(ev, ["user_id"], wrap=1 << 33)
 
 
-@query("live_repair")
+@query(
+    "live_repair",
+    f", live AS (SELECT user_id, seq, (since // {DAY})::BIGINT AS connection, (since // {DAY} * {DAY})::BIGINT AS start, (since % {DAY})::BIGINT AS ts_us FROM (SELECT user_id, seq, ts_us - min(ts_us) OVER (PARTITION BY user_id) AS since FROM ev WHERE user_id IS NOT NULL))"
+    ", span AS (SELECT user_id, connection, min(start) AS start, max(ts_us) AS length, row_number() OVER (PARTITION BY user_id ORDER BY connection) AS n FROM live GROUP BY 1, 2)"
+    ", based AS (SELECT user_id, connection, n, start AS base, NULL::BIGINT AS last, start + length AS now FROM span WHERE n = 1 UNION ALL"
+    " SELECT user_id, connection, n, base, now, greatest(now, base + length) FROM (SELECT s.*, b.now, CASE WHEN b.now < s.start AND s.start < b.now + 10000000 THEN s.start ELSE b.now + 33333 END AS base FROM based b JOIN span s ON s.user_id = b.user_id AND s.n = b.n + 1))"
+    " SELECT user_id, connection, start, ts_us + base AS ts_us, seq FROM live JOIN based USING (user_id, connection) WHERE last IS NULL OR ts_us + base > last",
+)
 def live_repair(spark, d):
     ev = temporal.rebase(events(spark, d), ["user_id"]).withColumn("connection", F.floor(F.col("ts_us") / DAY).cast("long"))
     ev = ev.withColumn("start", F.col("connection") * DAY).withColumn("ts_us", F.pmod("ts_us", F.lit(DAY)))
@@ -956,55 +974,117 @@ def jitter_buffer(spark, d):
 
 
 def _picture(spark, d, operation, *args, **named):
-    return image.on_column(vectors(spark, d).select("vec_id", F.slice("e", 1, 64).alias("e")), "e", (8, 8), operation, *args, **named).select("vec_id", _summed(F.col("e")))
+    """Sum and moment of the 8 x 8 pictures after an operation: the moment sees where values went."""
+    v = image.on_column(vectors(spark, d).select("vec_id", "e"), "e", (8, 8), operation, *args, **named)
+    return v.select("vec_id", _summed(F.col("e")), _summed(F.transform("e", lambda x, i: x * i), "moment"))
+
+
+def _pixel(row: str, column: str, border: str = "reflect") -> str:
+    """SQL of a pixel of an 8 x 8 picture, its border reflected or repeated."""
+    held = "7 - abs(7 - abs({}))" if border == "reflect" else "least(7, greatest(0, {}))"
+    return f"e[({held.format(row)}) * 8 + ({held.format(column)}) + 1]"
+
 
+def _sums(pixels: str, before: str = "") -> str:
+    """SQL of the sum and the moment of a list of pixels for each picture."""
+    return f"{before}, pic AS (SELECT vec_id, {pixels} AS px FROM emb) SELECT vec_id, round(list_sum(px), 4) AS total, round(list_sum([px[i] * (i - 1) for i in range(1, len(px) + 1)]), 4) AS moment FROM pic"
 
-@query("image_resize")
+
+_NEAR = _pixel("i // 8 + k // 3 - 1", "i % 8 + k % 3 - 1")
+_FIRST = f"list_sum([[1, 2, 1][k // 3 + 1] * (k % 3 - 1) * {_NEAR} for k in range(9)])"
+_SECOND = f"list_sum([[1, 2, 1][k % 3 + 1] * (k // 3 - 1) * {_NEAR} for k in range(9)])"
+
+
+_CUBIC = "CASE WHEN abs(t) <= 1 THEN 1.25 * abs(t) ** 3 - 2.25 * abs(t) ** 2 + 1 WHEN abs(t) < 2 THEN -0.75 * (abs(t) ** 3 - 5 * abs(t) ** 2 + 8 * abs(t) - 4) ELSE 0 END"
+
+
+def _taps(to: int) -> str:
+    """SQL of the weights of 8 places for each of ``to`` places (o, n, source, w), bicubic."""
+    at = f"((o + 0.5) * 8 / {to} - 0.5)"
+    return f"SELECT o, least(7, greatest(0, n)) AS source, {_CUBIC.replace('abs(t)', f'abs({at} - n)')} AS w FROM (SELECT o, unnest([floor({at})::INT + k for k in range(-1, 3)]) AS n FROM (SELECT unnest(range({to})) AS o))"
+
+
+@query(
+    "image_resize",
+    f", taps AS (SELECT y.o * 16 + x.o AS i, y.source * 8 + x.source + 1 AS source, y.w * x.w AS w FROM ({_taps(12)}) y, ({_taps(16)}) x), moved AS (SELECT source, sum(w) AS w, sum(w * i) AS wi FROM taps GROUP BY 1), pixels AS (SELECT vec_id, unnest(e) AS v, unnest(range(1, 65)) AS source FROM emb) SELECT vec_id, round(sum(v * w), 4) AS total, round(sum(v * wi), 4) AS moment FROM pixels JOIN moved USING (source) GROUP BY 1",
+)
 def image_resize(spark, d):
     return _picture(spark, d, image.resize, 16, 12, "bicubic")
 
 
-@query("image_rotate", "SELECT vec_id, [round(e[i], 6) for i in [3, 1, 4, 2]] AS part FROM emb")
+@query("image_rotate", "SELECT vec_id, [round(e[(7 - i % 8) * 8 + i // 8 + 1], 6) for i in range(64)] AS part FROM emb")
 def image_rotate(spark, d):
-    v = image.on_column(vectors(spark, d).select("vec_id", F.slice("e", 1, 4).alias("e")), "e", (2, 2), image.rotate, 90)
+    v = image.on_column(vectors(spark, d).select("vec_id", "e"), "e", (8, 8), image.rotate, 90)
     return v.select("vec_id", F.transform("e", lambda x: F.round(x, 6)).alias("part"))
 
 
-@query("image_gaussian_blur")
+@query(
+    "image_gaussian_blur",
+    _sums(f"[list_sum([exp(-((k // 3 - 1) ** 2 + (k % 3 - 1) ** 2) / 2.0) / (1 + 2 * exp(-0.5)) ** 2 * {_NEAR} for k in range(9)]) for i in range(64)]"),
+)
 def image_gaussian_blur(spark, d):
     return _picture(spark, d, image.gaussian_blur, 3, 3, 1.0)
 
 
-@query("image_sobel")
+@query(
+    "image_sobel",
+    _sums(f"[{_FIRST} for i in range(64)]"),
+)
 def image_sobel(spark, d):
     return _picture(spark, d, image.sobel, 1, 0)
 
 
-@query("image_canny")
+@query(
+    "image_canny",
+    f", grad AS (SELECT vec_id, [{_FIRST} for i in range(64)] AS gx, [{_SECOND} for i in range(64)] AS gy FROM emb)"
+    ", size AS (SELECT vec_id, [abs(gx[i]) + abs(gy[i]) for i in range(1, 65)] AS m, [(round_even(atan2(gy[i], gx[i]) / (pi() / 4), 0)::INT + 8) % 4 + 1 for i in range(1, 65)] AS sector FROM grad)"
+    ", beside AS (SELECT vec_id, m, [[i + [0, 1, 1, 1][sector[i + 1]] * 8, i % 8 + [1, 1, 0, -1][sector[i + 1]], i // 8 + [0, 1, 1, 1][sector[i + 1]], i // 8 - [0, 1, 1, 1][sector[i + 1]], i % 8 - [1, 1, 0, -1][sector[i + 1]]] for i in range(64)] AS b FROM size)"
+    ", sides AS (SELECT vec_id, m, [CASE WHEN p[2] BETWEEN 0 AND 7 AND p[3] BETWEEN 0 AND 7 THEN m[p[3] * 8 + p[2] + 1] ELSE 0 END for p in b] AS a, [CASE WHEN p[5] BETWEEN 0 AND 7 AND p[4] BETWEEN 0 AND 7 THEN m[p[4] * 8 + p[5] + 1] ELSE 0 END for p in b] AS z FROM beside)"
+    ", thin AS (SELECT vec_id, [(m[i] > z[i] AND m[i] >= a[i] AND m[i] > 0.2)::INT for i in range(1, 65)] AS weak, [(m[i] > z[i] AND m[i] >= a[i] AND m[i] > 0.6)::INT for i in range(1, 65)] AS e FROM sides)"
+    f", grown AS (SELECT vec_id, weak, e, 0 AS n FROM thin UNION ALL SELECT vec_id, weak, f, n + 1 FROM (SELECT vec_id, weak, e, n, [weak[i + 1] * list_max([{_pixel('i // 8 + k // 3 - 1', 'i % 8 + k % 3 - 1', 'edge')} for k in range(9)]) for i in range(64)] AS f FROM grown) WHERE f <> e)"
+    " SELECT vec_id, 255.0 * list_sum(e) AS total, 255.0 * list_sum([e[i] * (i - 1) for i in range(1, 65)]) AS moment FROM (SELECT vec_id, arg_max(e, n) AS e FROM grown GROUP BY 1)",
+)
 def image_canny(spark, d):
     return _picture(spark, d, image.canny, 0.2, 0.6)
 
 
-@query("image_erode", "SELECT vec_id, round(list_min(list_slice(e, 1, 9)), 6) AS centre FROM emb")
+@query("image_erode", f"SELECT vec_id, [round(list_min([{_pixel('i // 8 + k // 3 - 1', 'i % 8 + k % 3 - 1', 'edge')} for k in range(9)]), 6) for i in range(64)] AS part FROM emb")
 def image_erode(spark, d):
-    v = image.on_column(vectors(spark, d).select("vec_id", F.slice("e", 1, 9).alias("e")), "e", (3, 3), image.erode)
-    return v.select("vec_id", F.round(F.get("e", F.lit(4)), 6).alias("centre"))
+    v = image.on_column(vectors(spark, d).select("vec_id", "e"), "e", (8, 8), image.erode)
+    return v.select("vec_id", F.transform("e", lambda x: F.round(x, 6)).alias("part"))
+
+
+_AT_X = "(i % 8 - 0.1 * (i // 8) + 0.05)"
+_TAP_X, _TAP_Y = f"(floor({_AT_X})::INT + k % 2)", "(i // 8 - 1 + k // 2)"
 
 
-@query("image_warp")
+@query(
+    "image_warp",
+    _sums(f"[list_sum([CASE WHEN {_TAP_X} BETWEEN 0 AND 7 AND {_TAP_Y} BETWEEN 0 AND 7 THEN e[{_TAP_Y} * 8 + {_TAP_X} + 1] * (1 - abs({_AT_X} - {_TAP_X})) * 0.5 ELSE 0 END for k in range(4)]) for i in range(64)]"),
+)
 def image_warp(spark, d):
     return _picture(spark, d, image.warp_perspective, [[1, 0.1, 0], [0, 1, 0.5], [0, 0, 1]], 8, 8, "bilinear")
 
 
-@query("image_bilateral")
+@query(
+    "image_bilateral",
+    _sums(
+        "[list_sum([t.w * t.v for t in ts]) / list_sum([t.w for t in ts]) for ts in [[{{'v': {0}, 'w': exp(-((k // 5 - 2) ** 2 + (k % 5 - 2) ** 2) / 8.0 - ({0} - e[i + 1]) ** 2 / 0.5)}} for k in range(25)] for i in range(64)]]".format(_pixel("i // 8 + k // 5 - 2", "i % 8 + k % 5 - 2")),
+    ),
+)
 def image_bilateral(spark, d):
     return _picture(spark, d, image.bilateral_filter, 5, 0.5, 2.0)
 
 
-@query("temporal_denoise")
+@query(
+    "temporal_denoise",
+    f", mean AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, [list_sum([{_pixel('i // 8 + k // 3 - 1', 'i % 8 + k % 3 - 1', 'edge')} for k in range(9)]) / 9 for i in range(64)] AS m FROM emb)"
+    ", shown AS (SELECT label, vec_id, n, m FROM mean WHERE n = 1 UNION ALL SELECT mean.label, mean.vec_id, mean.n, [0.5 * mean.m[i] + 0.5 * shown.m[i] for i in range(1, 65)] FROM shown JOIN mean ON mean.label IS NOT DISTINCT FROM shown.label AND mean.n = shown.n + 1)"
+    " SELECT label, vec_id, round(list_sum(m), 4) AS total FROM shown",
+)
 def temporal_denoise(spark, d):
-    v = vectors(spark, d).select("label", "vec_id", F.slice("e", 1, 16).alias("e"))
-    return windows.temporal_denoise(v, ["label"], "e", 4, 4, order=("vec_id",)).select("label", "vec_id", _summed(F.col("e")))
+    v = vectors(spark, d).select("label", "vec_id", "e")
+    return windows.temporal_denoise(v, ["label"], "e", 8, 8, order=("vec_id",)).select("label", "vec_id", _summed(F.col("e")))
 
 
 @query("yuv_rgb", "SELECT p_partkey, greatest(0, least(255, floor((y - 16) * 1.164384 + 1.792741 * (v - 128) + 0.5)))::INT AS r FROM (SELECT p_partkey, (p_partkey % 220 + 16)::DOUBLE AS y, (p_size * 4)::DOUBLE AS v FROM part)")
@@ -1014,7 +1094,11 @@ def yuv_rgb(spark, d):
     return p.select("p_partkey", tensor.cast_one(tensor.half_up((F.col("y") - 16) * ky + rv * (F.col("v") - 128)), "uint8").cast("int").alias("r"))
 
 
-@query("resample_audio")
+@query(
+    "resample_audio",
+    ", heard AS (SELECT vec_id, [e[floor(i * 44100 / 32000)::INT + 1] + (e[floor(i * 44100 / 32000)::INT + 2] - e[floor(i * 44100 / 32000)::INT + 1]) * (i * 44100 / 32000 - floor(i * 44100 / 32000)) for i in range(len(e) * 32000 // 44100)] AS r FROM emb)"
+    " SELECT vec_id, len(r)::INT AS n, round(list_sum(r), 4) AS total FROM heard",
+)
 def resample_audio(spark, d):
     return resample.resample_audio(vectors(spark, d), "e", 44100, 32000).select("vec_id", F.size("e").alias("n"), _summed(F.col("e")))
 
