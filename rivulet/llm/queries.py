@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import decontamination, language_id, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, toxicity, warc
+from rivulet.llm import base_queries, decontamination, language_id, packing, pii, quality_rules, secret_scan, simhash, substring_dedup, toxicity, warc
 from rivulet.llm.textbatch import held_out
 
 
@@ -113,7 +113,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_pii, op4_secret_scan, op5_substring_dedup, op6_decontamination, op7_simhash, op8_warc, op9_packing, op10_quality_rules)}
+    ops = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_pii, op4_secret_scan, op5_substring_dedup, op6_decontamination, op7_simhash, op8_warc, op9_packing, op10_quality_rules)}
+    base = {"base_pii": base_queries.base_columns(op3_pii, base_queries.PII), "base_secrets": base_queries.base_columns(op4_secret_scan, base_queries.SECRETS), "base_quality": base_queries.base_quality}
+    return ops | base
 
 
 #: Words by their places; a window by its 50 words; the least id of each window's words.
@@ -170,4 +172,5 @@ FROM judged
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op5_substring_dedup": OP5_SQL}
+    base = {"base_pii": base_queries.spans_sql(base_queries.PII), "base_secrets": base_queries.spans_sql(base_queries.SECRETS), "base_quality": base_queries.QUALITY_SQL}
+    return base | {"op8_warc": OP8_SQL, "op5_substring_dedup": OP5_SQL}
