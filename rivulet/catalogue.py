@@ -1042,7 +1042,7 @@ def image_sobel(spark, d):
     ", sides AS (SELECT vec_id, m, [CASE WHEN p[2] BETWEEN 0 AND 7 AND p[3] BETWEEN 0 AND 7 THEN m[p[3] * 8 + p[2] + 1] ELSE 0 END for p in b] AS a, [CASE WHEN p[5] BETWEEN 0 AND 7 AND p[4] BETWEEN 0 AND 7 THEN m[p[4] * 8 + p[5] + 1] ELSE 0 END for p in b] AS z FROM beside)"
     ", thin AS (SELECT vec_id, [(m[i] > z[i] AND m[i] >= a[i] AND m[i] > 0.2)::INT for i in range(1, 65)] AS weak, [(m[i] > z[i] AND m[i] >= a[i] AND m[i] > 0.6)::INT for i in range(1, 65)] AS e FROM sides)"
     f", grown AS (SELECT vec_id, weak, e, 0 AS n FROM thin UNION ALL SELECT vec_id, weak, f, n + 1 FROM (SELECT vec_id, weak, e, n, [weak[i + 1] * list_max([{_pixel('i // 8 + k // 3 - 1', 'i % 8 + k % 3 - 1', 'edge')} for k in range(9)]) for i in range(64)] AS f FROM grown) WHERE f <> e)"
-    " SELECT vec_id, 255.0 * list_sum(e) AS total, 255.0 * list_sum([e[i] * (i - 1) for i in range(1, 65)]) AS moment FROM (SELECT vec_id, arg_max(e, n) AS e FROM grown GROUP BY 1)",
+    " SELECT vec_id, (255 * list_sum(e))::DOUBLE AS total, (255 * list_sum([e[i] * (i - 1) for i in range(1, 65)]))::DOUBLE AS moment FROM (SELECT vec_id, arg_max(e, n) AS e FROM grown GROUP BY 1)",
 )
 def image_canny(spark, d):
     return _picture(spark, d, image.canny, 0.2, 0.6)
