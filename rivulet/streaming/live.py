@@ -1,11 +1,12 @@
 """Live runs on Structured Streaming: pushed input, bounded micro-batches, state, jobs, resets.
 
 Results equal those of the batch operators as long as each key's rows arrive in
-order across micro-batches; inside one they are sorted.
+order across micro-batches (the as-of join takes a delay); inside one they are sorted.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,8 @@ from rivulet.operators.folds import JitterBuffer
 from rivulet.plans.graph import Graph
 
 TS, SEQ = "ts_us", "seq"
+#: Added to times before they bound a stream: Spark drops rows at or before 1970 as late.
+_SHIFT = 10**15
 
 
 def push(df: DataFrame, path: str) -> None:
@@ -50,26 +53,45 @@ def _fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: str, ts: str = TS, seq: str = SEQ) -> DataFrame:
-    """Left rows (keys, ts, seq) with seq and value of the latest right row at or before them."""
-    a = left.select(*keys, ts, seq, F.lit(1).alias("side"), F.lit(None).cast("double").alias("v"))
-    b = right.select(*keys, ts, seq, F.lit(0).alias("side"), F.col(value).cast("double").alias("v"))
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: str, ts: str = TS, seq: str = SEQ, *, delay: str = "1 millisecond") -> DataFrame:
+    """Left rows (keys, ts, seq) with seq and value of the latest right row at or before them.
+
+    A left row waits until both sides have come past its time by ``delay``, so that the match is that of the batch
+    form however the sides interleave and up to ``delay`` out of order; later rows are dropped, as are those
+    without a time.  What waits when both sides fall silent is given when a later row of any key moves the bound.
+    A key holds the right rows of the last ``delay``, one before them, and its waiting left rows.
+    """
     names = [*keys, ts, seq, "right_seq", "right_value"]
+    side = lambda df, is_left, v: bounded(df.where(F.col(ts).isNotNull()).select(*keys, ts, seq, F.lit(is_left).alias("is_left"), v.cast("double").alias("v"), F.timestamp_micros(F.col(ts) + _SHIFT).alias("at")), "at", delay)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values([ts, "side", seq])
-        held, out = state.getOption or (None, None), []
-        for t, s, side, v in zip(rows[ts], rows[seq], rows["side"], rows["v"]):
-            if side == 0:
-                held = (int(s), None if pd.isna(v) else float(v))
-            else:
-                out.append((*key, int(t), int(s), *held))
-        if held[0] is not None:
-            state.update(held)
-        yield pd.DataFrame(out, columns=names).astype({"right_seq": "Int64"})
-
+        known, waiting = [], []
+        if state.exists:
+            times, seqs, values, left_times, left_seqs = map(list, state.get)
+            known, waiting = list(zip(times, seqs, values)), list(zip(left_times, left_seqs))
+        if not state.hasTimedOut:
+            for rows in frames:
+                for t, s, is_left, v in zip(rows[ts].tolist(), rows[seq].tolist(), rows["is_left"].tolist(), rows["v"].tolist()):
+                    waiting.append((t, s)) if is_left else known.append((t, s, v))
+        known.sort(key=lambda r: r[:2])
+        waiting.sort()
+        bound = state.getCurrentWatermarkMs() * 1000 - _SHIFT
+        places, out = [r[0] for r in known], []
+        ready = bisect_right(waiting, bound, key=lambda r: r[0])
+        for t, s in waiting[:ready]:
+            k = bisect_right(places, t)
+            found = known[k - 1][1:] if k else (None, None)
+            out.append((*key, t, s, found[0], None if pd.isna(found[1]) else found[1]))
+        known, waiting = known[max(0, bisect_right(places, bound) - 1) :], waiting[ready:]
+        state.update((*([r[k] for r in known] for k in range(3)), *([r[k] for r in waiting] for k in range(2))))
+        if waiting:
+            state.setTimeoutTimestamp(-(-(waiting[0][0] + _SHIFT) // 1000) - 1)
+        yield pd.DataFrame(out, columns=names).astype({"right_seq": "Int64", "right_value": "float64"})
+
+    both = side(left, True, F.lit(None)).unionAll(side(right, False, F.col(value)))
+    held = "times array<long>, seqs array<long>, vals array<double>, left_times array<long>, left_seqs array<long>"
     schema = f"{_fields(left, keys)}, {ts} long, {seq} long, right_seq long, right_value double"
-    return a.unionAll(b).groupBy(*keys).applyInPandasWithState(step, schema, "right_seq long, right_value double", "append", GroupStateTimeout.NoTimeout)
+    return both.groupBy(*keys).applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def at_least_apart(stream: DataFrame, keys: list[str], gap_us: int, ts: str = TS, seq: str = SEQ) -> DataFrame:
@@ -88,27 +110,57 @@ def at_least_apart(stream: DataFrame, keys: list[str], gap_us: int, ts: str = TS
     return stream.select(*keys, ts, seq).groupBy(*keys).applyInPandasWithState(step, f"{_fields(stream, keys)}, {ts} long, {seq} long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def jitter_buffer(stream: DataFrame, keys: list[str], ticks_us: int, *, arrival: str = "arrival_us", ts: str = TS, seq: str = SEQ, video: bool = True) -> DataFrame:
-    """keys, tick, seq shown, for the ticks up to the latest arrival of each micro-batch."""
+def jitter_buffer(stream: DataFrame, keys: list[str], ticks_us: int, *, arrival: str = "arrival_us", ts: str = TS, seq: str = SEQ, idle_ms: int | None = None, **options) -> DataFrame:
+    """keys, tick, seq shown, for the ticks up to the latest arrival of each micro-batch.
+
+    A row without a time is the end of its source: what is left is shown, as the batch form does after the last
+    arrival, and a row after it begins a new source.  With ``idle_ms``, a source that sends nothing for so long has ended.
+    """
+    names = [*keys, "tick", "seq"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values([arrival, seq])
-        buffer, tick = JitterBuffer(video), None
+        buffer, tick, out = JitterBuffer(**options), None, []
         if state.exists:
             tick, buffer.offset, buffer.streaming, buffer.last, times, cached = state.get
             buffer.times, buffer.rows = list(times), list(cached)
-        out = []
-        for at, t, s in zip(rows[arrival].tolist(), rows[ts].tolist(), rows[seq].tolist()):
-            tick = at if tick is None else tick
-            while tick < at:
-                out.append((*key, tick, buffer.get(tick)))
-                tick += ticks_us
-            buffer.put(t, s)
-        state.update((tick, buffer.offset, buffer.streaming, buffer.last, buffer.times, buffer.rows))
-        yield pd.DataFrame(out, columns=[*keys, "tick", "seq"]).astype({"seq": "Int64"})
 
+        def show() -> None:
+            nonlocal tick
+            out.append((*key, tick, buffer.get(tick)))
+            tick += ticks_us
+
+        def finish() -> None:
+            nonlocal tick, buffer
+            buffer.end()
+            while buffer.times:
+                show()
+            buffer, tick = JitterBuffer(**options), None
+
+        if state.hasTimedOut:
+            finish()
+        else:
+            rows = pd.concat(list(frames)).sort_values([arrival, "ends", seq])
+            for at, t, s, ends in zip(rows[arrival].tolist(), rows[ts].tolist(), rows[seq].tolist(), rows["ends"].tolist()):
+                if ends:
+                    finish()
+                    continue
+                tick = at if tick is None else tick
+                while tick < at:
+                    show()
+                buffer.put(t, s)
+        if tick is not None:
+            state.update((tick, buffer.offset, buffer.streaming, buffer.last, buffer.times, buffer.rows))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names).astype({"seq": "Int64"})
+
+    ends = F.col(ts).isNull()
+    rows = stream.select(*keys, arrival, F.coalesce(ts, F.lit(0)).alias(ts), F.when(ends, F.lit(0)).otherwise(F.col(seq)).cast("long").alias(seq), ends.alias("ends"))
     held = "tick long, offset long, streaming boolean, last long, times array<long>, cached array<long>"
-    return stream.select(*keys, arrival, ts, seq).groupBy(*keys).applyInPandasWithState(step, f"{_fields(stream, keys)}, tick long, seq long", held, "append", GroupStateTimeout.NoTimeout)
+    limit = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*keys).applyInPandasWithState(step, f"{_fields(stream, keys)}, tick long, seq long", held, "append", limit)
 
 
 def with_resets(stream: DataFrame, work: Callable[[DataFrame, dict[str, str]], DataFrame], control: str, path: str, checkpoint: str):

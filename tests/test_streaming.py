@@ -30,14 +30,29 @@ def ends(tmp_path, name):
 
 
 def test_as_of(spark, tmp_path):
-    left, right = rows(5, 20, 10), rows(0, 20, 10)
-    # both sides in one micro-batch each, so that arrival follows time
-    a, b = (pushed(spark, tmp_path, n, d, parts=1) for n, d in (("l", left), ("r", right)))
-    got = live.drain(live.as_of(a, b, ["k"], "value"), *ends(tmp_path, "asof"))
+    """Both sides in several micro-batches, the right side up to 50 ms out of order and one file behind."""
+    ms = 1000
+    left, right = rows(5 * ms, 24, 10 * ms), rows(0, 24, 10 * ms)
+    last = [("end", 10**9, 99, 0.0)]
+    late = sorted(right, key=lambda r: r[1] + (30 * ms if r[2] % 3 == 0 else 0))
+    for part in (left[:16] + left[24:40], left[16:24] + left[40:], last, last):
+        live.push(spark.createDataFrame(part, SCHEMA).coalesce(1), str(tmp_path / "l"))
+    for part in (late[:10], late[10:22], late[22:], last):
+        live.push(spark.createDataFrame(part, SCHEMA).coalesce(1), str(tmp_path / "r"))
+    schema = spark.createDataFrame([], SCHEMA).schema
+    a, b = (live.source(spark, str(tmp_path / n), schema, queue_limit=1) for n in "lr")
+    got = live.drain(live.as_of(a, b, ["k"], "value", delay="50 milliseconds"), *ends(tmp_path, "asof"))
     want = as_of(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), ["k"])
     assert sorted((r.k, r.seq, r.right_seq, r.right_value) for r in got.collect()) == sorted((r.k, r.seq, r.matched.seq, r.matched.value) for r in want.collect())
 
 
+def test_as_of_before_the_first_right_row(spark, tmp_path):
+    left, right = [("a", 0, 0, 0.0), ("a", 2000, 1, 0.0), ("end", 10**9, 9, 0.0)], [("a", 1000, 0, None), ("end", 10**9, 9, 0.0)]
+    a, b = (pushed(spark, tmp_path, n, d, parts=1) for n, d in (("l", left), ("r", right)))
+    got = live.drain(live.as_of(a, b, ["k"], "value"), *ends(tmp_path, "first"))
+    assert sorted((r.k, r.seq, r.right_seq, r.right_value) for r in got.collect()) == [("a", 0, None, None), ("a", 1, 0, None)]
+
+
 def test_at_least_apart(spark, tmp_path):
     data = rows(0, 50, 7)
     got = live.drain(live.at_least_apart(pushed(spark, tmp_path, "s", data), ["k"], 30), *ends(tmp_path, "apart"))
@@ -45,13 +60,35 @@ def test_at_least_apart(spark, tmp_path):
     assert sorted((r.k, r.seq) for r in got.collect()) == sorted((r.k, r.seq) for r in want.collect())
 
 
+JITTER = "k string, arrival_us long, ts_us long, seq long"
+
+
+def shown(df):
+    return sorted((r.k, r.tick, -1 if r.seq is None else r.seq) for r in df.collect())
+
+
 def test_jitter_buffer(spark, tmp_path):
-    schema = "k string, arrival_us long, ts_us long, seq long"
-    data = [(k, 100 + t * 50, t * 40, t) for k in "ab" for t in range(40)]
-    got = live.drain(live.jitter_buffer(pushed(spark, tmp_path, "j", data, schema), ["k"], 50), *ends(tmp_path, "jitter"))
-    want = {(r.k, r.tick): r.seq for r in folds.jitter_buffer(spark.createDataFrame(data, schema), ["k"], 50).collect()}
-    found = {(r.k, r.tick): r.seq for r in got.collect()}
-    assert len(found) > 70 and all(want[x] == s for x, s in found.items())
+    """Equal both ways: an end mark gives what the batch form shows after the last arrival."""
+    data = [(k, 100 + t * 50, t * 40_000, t) for k in "ab" for t in range(40)]
+    marks = [(k, 10_000, None, None) for k in "ab"]
+    got = live.drain(live.jitter_buffer(pushed(spark, tmp_path, "j", data + marks, JITTER), ["k"], 50), *ends(tmp_path, "jitter"))
+    want = shown(folds.jitter_buffer(spark.createDataFrame(data, JITTER), ["k"], 50))
+    assert shown(got) == want and len({s for _, _, s in want}) == 41
+
+
+def test_jitter_buffer_of_a_silent_source(spark, tmp_path):
+    data = [("a", 100 + t * 50, t * 40_000, t) for t in range(20)]
+    stream = live.jitter_buffer(pushed(spark, tmp_path, "i", data, JITTER), ["k"], 5000, idle_ms=1500)
+    out, ck = ends(tmp_path, "idle")
+    want = shown(folds.jitter_buffer(spark.createDataFrame(data, JITTER), ["k"], 5000))
+    query = stream.writeStream.format("parquet").option("checkpointLocation", ck).trigger(processingTime="500 milliseconds").start(out)
+    for _ in range(120):
+        time.sleep(0.5)
+        got = shown(spark.read.schema(stream.schema).parquet(out)) if query.lastProgress else []
+        if len(got) >= len(want):
+            break
+    query.stop()
+    assert got == want
 
 
 def test_resets(spark, tmp_path):
