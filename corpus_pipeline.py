@@ -31,7 +31,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document of the least id stays."""
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document of the least id stays.
+
+    Fingerprints that the SimHash grid joins come first, verified; min-hash bands add the pairs it does not carry.
+    """
     return simhash.representatives(docs, shingle=5, similarity=0.8)
 
 

@@ -5,7 +5,8 @@ fingerprints of 64 bits differ in about 10 bits, which no grid of the SimHash
 join carries; candidates are keys that share one of ``BANDS`` bands of ``ROWS``
 min-hashes instead.  A pair of similarity s shares none with probability
 (1 - s**ROWS)**BANDS: 3e-6 at 0.8, less above.  Every link is verified on the
-shingle sets themselves (64-bit hashes of shingles).
+shingle sets themselves (64-bit hashes of shingles).  The caller may give candidates of its
+own, SimHash's say: they are verified first, and bands only complete them.
 
 Within a band no pairs are made.  In each of ``STARS`` rounds every band's hub (the
 member whose bands are largest) is compared with the others: a row for each member
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.components import components
 from rivulet.llm.shared_tables import written
-from rivulet.llm.textbatch import Words, map_batches, mix, pick, runs, utf8
+from rivulet.llm.textbatch import Words, map_batches, mix, pick, runs, texts, utf8
 
 BANDS = 24
 ROWS = 4
@@ -78,16 +79,17 @@ def _bands(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def prints(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the key of the shingle set) and bands of every row."""
+def prints(docs: DataFrame, sketch: Callable[[bytes, int], int], *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (the key of the shingle set), bands and sketch (of the text) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(_sets(batch.column("text"), shingle))
+        sketches = pa.array([sketch(t, shingle) for t in texts(batch.column("text"))], pa.int64())
         keys, bands = (np.concatenate([f(*s) for s in sets]) for f in (_keys, _bands))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-        return pa.record_batch([batch.column("doc_id"), pa.array(keys), lists], ["doc_id", "fp", "bands"])
+        return pa.record_batch([batch.column("doc_id"), pa.array(keys), lists, sketches], ["doc_id", "fp", "bands", "sketch"])
 
-    return map_batches(pick(docs, id_col, text_col), run, "doc_id long, fp long, bands array<long>")
+    return map_batches(pick(docs, id_col, text_col), run, "doc_id long, fp long, bands array<long>, sketch long")
 
 
 def keys(column: pa.Array, shingle: int) -> pa.Array:
@@ -98,13 +100,18 @@ def _similar(size_u: Column, size_v: Column, common: Column, similarity: float)
     return common >= F.lit(similarity) * (size_u + size_v - common) - F.lit(1e-9)
 
 
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that are similar."""
+    mine = sets.select(F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("hashes").alias("h_v"))
+    others = sets.select(F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("hashes").alias("h_u"))
+    joined = pairs.join(mine, "v").join(others, "u").where(_similar(F.col("n_u"), F.col("n_v"), F.least("n_u", "n_v"), similarity))
+    return joined.where(_similar(F.col("n_u"), F.col("n_v"), F.size(F.array_intersect("h_u", "h_v")), similarity)).select("u", "v")
+
+
 def _star_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) from each band's hub to the members that are similar to it."""
     pairs = members.where("fp <> hub and root <> hub_root").select(F.col("hub").alias("u"), F.col("fp").alias("v")).distinct()
-    mine = sets.select(F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("hashes").alias("h_v"))
-    hubs = sets.select(F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("hashes").alias("h_u"))
-    joined = pairs.join(mine, "v").join(hubs, "u").where(_similar(F.col("n_u"), F.col("n_v"), F.least("n_u", "n_v"), similarity))
-    return joined.where(_similar(F.col("n_u"), F.col("n_v"), F.size(F.array_intersect("h_u", "h_v")), similarity)).select("u", "v")
+    return _similar_pairs(pairs, sets, similarity)
 
 
 def _block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -161,24 +168,26 @@ def _verify(similarity: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _open(members: DataFrame, links: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     """The members (band, fp) of bands of several components, with each one's root."""
-    if links is None:
-        return members.withColumn("root", F.col("fp"))
     roots = components(links, "jaccard-roots").select(F.col("vertex").alias("fp"), F.col("root").alias("_root"))
     rooted = members.join(roots, "fp", "left").select("band", "fp", F.coalesce("_root", "fp").alias("root"))
     rooted = written(rooted, "jaccard-rooted")
     return rooted.join(rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("_open")).where("_open").select("band"), "band", "left_semi")
 
 
-def links(docs: DataFrame, prints: DataFrame, similarity: float, *, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """Edges (u, v) whose components are those of all keys of at least that similarity."""
+def links(docs: DataFrame, prints: DataFrame, candidates: DataFrame, similarity: float, *, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """Edges (u, v) whose components are those of all keys of at least that similarity.
+
+    candidates: pairs (u, v) of keys that are verified before any band is looked at.
+    """
     banded = written(prints.select(F.explode("bands").alias("band"), "fp").distinct(), "jaccard-bands")
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("members")).where("n > 1")
     shared = shared.groupBy("n", "members").agg(F.min("band").alias("band"))  # one band of each membership
     members = written(banded.join(shared.select("band", F.col("n").alias("band_size")), "band"), "jaccard-members")
     weight = written(members.groupBy("fp").agg(F.sum("band_size").alias("weight")), "jaccard-weights")
-    ids = prints.join(weight, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    wanted = written(weight.select("fp").unionAll(candidates.select("u")).unionAll(candidates.select("v")).distinct(), "jaccard-wanted")
+    ids = prints.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     some = docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -187,16 +196,15 @@ def links(docs: DataFrame, prints: DataFrame, similarity: float, *, shingle: int
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.concatenate([h for h, _ in sets]).view(np.int64)))
         return pa.record_batch([pa.array(np.concatenate([_keys(*s) for s in sets])), lists], ["fp", "hashes"])
 
-    found = map_batches(pick(some, id_col, text_col), run, "fp long, hashes array<long>").join(weight.select("fp"), "fp", "left_semi")
+    found = map_batches(pick(some, id_col, text_col), run, "fp long, hashes array<long>").join(wanted, "fp", "left_semi")
     sets = written(found.dropDuplicates(["fp"]).select("fp", F.size("hashes").alias("n"), "hashes"), "jaccard-sets")
 
-    edges, left = None, members.select("band", "fp")
+    edges, left = written(_similar_pairs(candidates, sets, similarity), "jaccard-links"), members.select("band", "fp")
     for _ in range(STARS):
         rest = _open(left, edges)
         hubs = rest.join(weight, "fp").groupBy("band").agg(F.max(F.struct("weight", "fp", "root")).alias("_hub")).select("band", F.col("_hub.fp").alias("hub"), F.col("_hub.root").alias("hub_root"))
         rest = written(rest.join(hubs, "band"), "jaccard-stars")
-        star = _star_links(rest, sets, similarity)
-        edges = written(star if edges is None else edges.unionAll(star), "jaccard-links")
+        edges = written(edges.unionAll(_star_links(rest, sets, similarity)), "jaccard-links")
         left = rest.where("fp <> hub").select("band", "fp")
     blocks = _block_links(written(_open(left, edges), "jaccard-rest"), sets, similarity)
     return edges.unionAll(written(blocks, "jaccard-links"))

@@ -165,6 +165,17 @@ def _groups(prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFr
     return distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), component.alias("component_id"))
 
 
+def _meetings(prints: DataFrame, cell: int) -> DataFrame:
+    """Pairs (u, v) of keys (fp) whose fingerprints (sketch) are equal or linked: a few for each key."""
+    sketched = written(prints.select("sketch", "fp").distinct(), "simhash-sketches")
+    first = written(sketched.groupBy("sketch").agg(F.min("fp").alias("first")), "simhash-first")
+    same = sketched.join(first, "sketch").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    ends = links(first.select(F.col("sketch").alias("fp")), cell).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    for c in ("u", "v"):
+        ends = ends.join(first.select(F.col("sketch").alias(f"_{c}"), F.col("first").alias(c)), f"_{c}")
+    return written(same.unionAll(ends.select("u", "v")).where("u <> v").distinct(), "simhash-meetings")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable over links) for every row."""
     prints = written(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col), "simhash")
@@ -176,14 +187,15 @@ def representatives(docs: DataFrame, *, shingle: int = SHINGLE, similarity: floa
 
     Where several rows could (equal ids, or no id in the component), one stays.
     With a ``similarity``, links are pairs whose shingle sets have at least that
-    Jaccard similarity (``rivulet.llm.jaccard``), whatever their fingerprints.
+    Jaccard similarity: fingerprints that meet on the grid are verified on the sets,
+    and pairs farther apart than ``MAX_BITS`` come from ``rivulet.llm.jaccard``.
     """
     names = docs.columns
     id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
     docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no name clashes with those made here
     columns = {"shingle": shingle, "id_col": id_col, "text_col": text_col}
-    prints = written(fingerprints(docs, **columns) if similarity is None else jaccard.prints(docs, **columns), "simhash")
-    groups = written(_groups(prints, lambda fps: links(fps, cell) if similarity is None else jaccard.links(docs, prints, similarity, **columns)), "simhash-groups")
+    prints = written(fingerprints(docs, **columns) if similarity is None else jaccard.prints(docs, fingerprint, **columns), "simhash")
+    groups = written(_groups(prints, lambda fps: links(fps, cell) if similarity is None else jaccard.links(docs, prints, _meetings(prints, cell), similarity, **columns)), "simhash-groups")
     least = groups.where("component_id is not null").select(F.col("component_id").alias("_id"))
     unsure = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     unsure = written(unsure.select(F.col("doc_id").alias("_id")), "simhash-unsure")

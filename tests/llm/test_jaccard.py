@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from rivulet.llm import simhash
+from rivulet.llm import jaccard, simhash
 
 
 def shingles(text, k=5):
@@ -60,3 +60,23 @@ def test_odd_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, simhash.representatives(df, shingle=5, similarity=0.8).collect()), key=repr)
     assert got == sorted([(5, "a b c d"), (None, "x y z w"), (8, ""), (6, "one two three"), (6, "other words here now")], key=repr)
+
+
+def test_simhash_grid_links_without_bands(spark, sf, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(40):
+        text = [rng.choice(words) for _ in range(400)]
+        texts += [" ".join(text), " ".join([*text[:-1], "other"])]
+    cycle = "one two three four five " * 60
+    texts += [cycle + "red green blue pink gray teal", cycle + "cat dog cow pig hen fox"]  # one fingerprint, unlike sets
+    prints, sets = [simhash.fingerprint(t.encode(), 5) for t in texts], [shingles(t) for t in texts]
+    near = [k for k in range(0, 80, 2) if ((prints[k] ^ prints[k + 1]) % 2**64).bit_count() <= 2 and len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
+    assert len(near) > 20 and prints[80] == prints[81] and len(sets[80] & sets[81]) < 0.8 * len(sets[80] | sets[81])
+    none = lambda members, sets, similarity: members.select(members.fp.alias("u"), members.fp.alias("v")).limit(0)
+    for name in ("_star_links", "_block_links"):
+        monkeypatch.setattr(jaccard, name, none)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()}
+    assert got == set(range(len(texts))) - {k + 1 for k in near}
