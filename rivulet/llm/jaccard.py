@@ -11,10 +11,14 @@ own, SimHash's say: they are verified first, and bands only complete them.
 Within a band no pairs are made.  In each of ``STARS`` rounds every band's hub (the
 member whose bands are largest) is compared with the others: a row for each member
 at most, as near copies share their hub over all bands.  Hubs leave, what is linked
-is one component, and bands of one component are done.  The rest is compared in
-blocks of about ``BLOCK`` sets: the members of a band's largest component against
-all others, and the others among themselves, a task for each pair of blocks.  So no
-group's size bounds the memory of a task, and no link is lost.
+is one component, and bands of one component are done.  In the
+bands that then hold more than a block, two sets that share a shingle of at most
+``FEW`` holders are a pair of their own; all others share no more than the common
+shingles of either, so a set stays in its band only if, by these counts and by size,
+some set of the band could be similar to it.  What stays is compared in blocks of
+about ``BLOCK`` sets: the members of a band's largest component against all others,
+and the others among themselves, a task for each pair of blocks.  So no group's size
+bounds the memory of a task, and no link is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from rivulet.llm.textbatch import Words, map_batches, mix, pick, runs, texts, ut
 BANDS = 24
 ROWS = 4
 STARS = 1
+#: Sets that may hold a shingle whose holders are paired.
+FEW = 8
 #: Sets, and hashes of all its sets, that a block holds on average.
 BLOCK = 128
 BLOCK_HASHES = 1 << 19
@@ -114,17 +120,46 @@ def _star_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return _similar_pairs(pairs, sets, similarity)
 
 
-def _block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) whose components, with those given by root, are those of all similar pairs of each band."""
-    sized = members.join(sets.select("fp", "n"), "fp")
+def _thinned(crowd: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The members whose links may rest on common shingles alone, and the links of all that share a rare one."""
+    held = crowd.select("fp", "root").distinct().join(sets.select("fp", "hashes"), "fp").select("fp", "root", F.explode("hashes").alias("h"))
+    rare = held.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") <= FEW)
+    rare = written(held.join(rare, "h"), "jaccard-rare")
+    holders = rare.where("c > 1").groupBy("h").agg(F.collect_list(F.struct("fp", "root")).alias("all")).select(F.explode("all").alias("a"), "all")
+    pairs = holders.select("a", F.explode("all").alias("b")).where("a.fp < b.fp and a.root <> b.root").select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    links = written(_similar_pairs(pairs, sets, similarity), "jaccard-links")
+
+    common = F.col("n") - F.coalesce("rare", F.lit(0))
+    counted = crowd.join(rare.groupBy("fp").agg(F.count("*").alias("rare")), "fp", "left").withColumn("most", common * F.lit(1 + 1 / similarity) - F.col("n") + F.lit(1e-6))
+    counted = written(counted.select(*crowd.columns, "most"), "jaccard-crowd")  # most: the size up to which a set may be similar to this one
+    sizes = counted.groupBy("band", F.floor(F.log("n") * 50)).agg(F.min("n").alias("least"), F.max("most").alias("most"))
+    sizes = sizes.groupBy("band").agg(F.collect_list(F.struct("least", "most")).alias("sizes"))
+    stay = counted.join(sizes, "band").where(F.exists("sizes", lambda x: (x["least"] <= F.col("most")) & (x["most"] >= F.col("n"))))
+    return written(stay.select(*crowd.columns), "jaccard-crowd"), links
+
+
+def _plan(sized: DataFrame) -> DataFrame:
+    """For each band of several components: the largest one, its number of blocks and that of the others."""
     by_root = sized.groupBy("band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    per_band = by_root.groupBy("band").agg(F.max(F.struct("c", "s", "root")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    per_band = by_root.groupBy("band").agg(F.max(F.struct("c", "s", "root")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s")).where("c > top.c")
 
     def blocks(c: Column, s: Column) -> Column:
         return F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_HASHES), F.lit(1)).cast("int")
 
     plan = per_band.select("band", F.col("top.root").alias("top"), blocks(F.col("top.c"), F.col("top.s")).alias("n_top"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("n_rest"))
-    dealt = sized.join(written(plan, "jaccard-plan"), "band").withColumn("is_top", F.col("root") == F.col("top"))
+    return written(plan, "jaccard-plan")
+
+
+def _block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) whose components, with those given by root, are those of all similar pairs of each band."""
+    sized = written(members.join(sets.select("fp", "n"), "fp"), "jaccard-rest")
+    plan, links = _plan(sized), None
+    crowded = plan.where("n_top > 1 or n_rest > 1").select("band")
+    if not crowded.isEmpty():
+        stay, links = _thinned(sized.join(crowded, "band", "left_semi"), sets, similarity)
+        sized = sized.join(crowded, "band", "left_anti").unionByName(stay)
+        plan = _plan(sized)
+    dealt = sized.join(plan, "band").withColumn("is_top", F.col("root") == F.col("top"))
     mine = F.pmod(F.xxhash64("fp"), F.when(F.col("is_top"), F.col("n_top")).otherwise(F.col("n_rest"))).cast("int").alias("b")
     dealt = dealt.select("band", "fp", "root", "is_top", "n_top", "n_rest", mine)
 
@@ -137,7 +172,8 @@ def _block_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     of_top = tasks("n_rest", lambda j: named("top", F.col("b"), j))
     of_rest = F.concat(tasks("n_top", lambda i: named("top", i, F.col("b"))), tasks("n_rest", lambda k: named("rest", F.least(F.col("b"), k), F.greatest(F.col("b"), k))))
     spread = dealt.select("band", "fp", "root", F.explode(F.when(F.col("is_top"), of_top).otherwise(of_rest)).alias("t")).select("band", "t.*", "fp", "root")
-    return spread.join(sets.select("fp", "hashes"), "fp").groupBy("band", "kind", "i", "j").applyInArrow(_verify(similarity), "u long, v long")
+    found = spread.join(sets.select("fp", "hashes"), "fp").groupBy("band", "kind", "i", "j").applyInArrow(_verify(similarity), "u long, v long")
+    return found if links is None else found.unionAll(links)
 
 
 def _verify(similarity: float) -> Callable[[pa.Table], pa.Table]:
@@ -206,5 +242,5 @@ def links(docs: DataFrame, prints: DataFrame, candidates: DataFrame, similarity:
         rest = written(rest.join(hubs, "band"), "jaccard-stars")
         edges = written(edges.unionAll(_star_links(rest, sets, similarity)), "jaccard-links")
         left = rest.where("fp <> hub").select("band", "fp")
-    blocks = _block_links(written(_open(left, edges), "jaccard-rest"), sets, similarity)
+    blocks = _block_links(_open(left, edges), sets, similarity)
     return edges.unionAll(written(blocks, "jaccard-links"))

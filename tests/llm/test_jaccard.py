@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from rivulet.llm import jaccard, simhash
 
@@ -80,3 +82,38 @@ def test_simhash_grid_links_without_bands(spark, sf, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()}
     assert got == set(range(len(texts))) - {k + 1 for k in near}
+
+
+def count_rows(block):
+    return pa.table({"u": pa.array([block.num_rows], pa.int64()), "v": pa.array([-1], pa.int64())})
+
+
+def test_rows_for_blocks_grow_with_the_group(spark, monkeypatch):
+    """Copies of one text, each with shingles of its own: half of one component, the others too far from all."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "_verify", lambda similarity: count_rows)
+    made = []
+    for n in (100, 400):
+        rows = [(1, k, 0 if k % 2 else k, [*range(30 if k % 2 == 0 else 1, 140), *range(1000 + 1000 * k, 1030 + 1000 * k if k % 2 == 0 else 1001 + 1000 * k)]) for k in range(1, n + 1)]
+        docs = spark.createDataFrame(rows, "band long, fp long, root long, hashes array<long>")
+        sets = docs.selectExpr("fp", "size(hashes) n", "hashes")
+        made.append(sum(r.u for r in jaccard._block_links(docs.select("band", "fp", "root"), sets, 0.8).collect() if r.v == -1))
+    assert made[1] <= 5 * made[0]
+
+
+def test_crowded_bands_against_brute_force(spark, sf, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(120)]
+    far = []
+    for _ in range(50):  # near the base, too far from it, and copies of such copies
+        text = list(rng.choice(far) if far and rng.random() < 0.4 else base)[rng.randrange(12) :]
+        for _ in range(rng.randrange(1, 6)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        far.append(text)
+    texts = dict(enumerate(" ".join(t) for t in far))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = set(brute_roots(texts).values())
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()} == want and 5 < len(want) < 45
