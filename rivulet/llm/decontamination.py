@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.textbatch import covered, map_batches, pick, runs, utf8
+from rivulet.llm.textbatch import covered, map_batches, map_parts, pick, runs, utf8
 
 Q = 10
 SEGMENT = 80
@@ -358,5 +358,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
             keep[[x[0] for x in _find(batch.column(text_col), _index(packed))]] = False
             return batch.filter(pa.array(keep))
 
-        docs = map_batches(docs, run, docs.schema)
+        docs = map_parts(docs, run, docs.schema)
     return docs

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.components import components
 from rivulet.llm.shared_tables import written
-from rivulet.llm.textbatch import Words, map_batches, mix, pick, runs, texts, utf8
+from rivulet.llm.textbatch import Words, map_parts, mix, pick, runs, texts, utf8
 
 BANDS = 24
 ROWS = 4
@@ -95,7 +95,7 @@ def prints(docs: DataFrame, sketch: Callable[[bytes, int], int], *, shingle: int
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
         return pa.record_batch([batch.column("doc_id"), pa.array(keys), lists, sketches], ["doc_id", "fp", "bands", "sketch"])
 
-    return map_batches(pick(docs, id_col, text_col), run, "doc_id long, fp long, bands array<long>, sketch long")
+    return map_parts(pick(docs, id_col, text_col), run, "doc_id long, fp long, bands array<long>, sketch long")
 
 
 def keys(column: pa.Array, shingle: int) -> pa.Array:
@@ -232,7 +232,7 @@ def links(docs: DataFrame, prints: DataFrame, candidates: DataFrame, similarity:
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.concatenate([h for h, _ in sets]).view(np.int64)))
         return pa.record_batch([pa.array(np.concatenate([_keys(*s) for s in sets])), lists], ["fp", "hashes"])
 
-    found = map_batches(pick(some, id_col, text_col), run, "fp long, hashes array<long>").join(wanted, "fp", "left_semi")
+    found = map_parts(pick(some, id_col, text_col), run, "fp long, hashes array<long>").join(wanted, "fp", "left_semi")
     sets = written(found.dropDuplicates(["fp"]).select("fp", F.size("hashes").alias("n"), "hashes"), "jaccard-sets")
 
     edges, left = written(_similar_pairs(candidates, sets, similarity), "jaccard-links"), members.select("band", "fp")

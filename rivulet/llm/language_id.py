@@ -18,15 +18,13 @@ keep their rows; an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.shared_tables import written
-from rivulet.llm.textbatch import map_batches, pick, runs, utf8
+from rivulet.llm.textbatch import kept, map_batches, map_parts, pick, runs, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -166,11 +164,10 @@ class Scorer:
         return out / np.maximum(np.bincount(row, minlength=len(out)), 1)[:, None]
 
 
-@functools.lru_cache(maxsize=1)
 def _scorer(key: tuple) -> Scorer:
     """The tables are built once in a worker, not once in a task."""
     langs, packed = key
-    return Scorer({k: np.frombuffer(v, np.float32).reshape(shape) for k, shape, v in packed}, langs)
+    return kept(("language_id", key), lambda: Scorer({k: np.frombuffer(v, np.float32).reshape(shape) for k, shape, v in packed}, langs))
 
 
 def fit(docs: DataFrame, *, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, sample: int = SAMPLE) -> tuple | None:
@@ -235,4 +232,4 @@ def accepted(docs: DataFrame, model: tuple | None, *, text_col: str = "text", mi
         langs, score = _predict(batch.column(text_col), model)
         return batch.filter(pa.array([x != UNDETERMINED and s >= min_score for x, s in zip(langs, score)]))
 
-    return map_batches(docs, run, docs.schema)
+    return map_parts(docs, run, docs.schema)

@@ -15,7 +15,6 @@ Sequence ids are task << 36 | counter, so a task that runs again repeats them.
 
 from __future__ import annotations
 
-import functools
 import os
 from array import array
 from collections.abc import Iterable, Iterator
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rivulet.llm.textbatch import pick, texts
+from rivulet.llm.textbatch import give_back, kept, parts, pick, texts
 
 WINDOW = 2048
 END_ID = 1
@@ -104,10 +103,9 @@ class WordMemo(dict):
             yield np.frombuffer(b"".join(map(self.__getitem__, words)) + last, "<u4")
 
 
-@functools.cache
 def worker_memo(path: str) -> WordMemo:
-    """One memo for all tasks of a worker process; it changes no result."""
-    return WordMemo(path)
+    """One memo for all tasks of a worker process, as long as it packs; it changes no result."""
+    return kept(("packing", path), lambda: WordMemo(path))
 
 
 class SumOfSquares:
@@ -227,18 +225,21 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id:
         number = TaskContext.get().partitionId() << 36
         ready: list[list] = []
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), memo.encode(texts(batch.column("text")), end_id)):
-                doc, whole = (doc_id, len(ids)), len(ids) - len(ids) % window
-                ready += [[(doc, at, ids[at : at + window])] for at in range(0, whole, window)]
-                if whole < len(ids):
-                    ready += packer.place((doc, whole, ids[whole:]))
-                if len(ready) >= 1000:
-                    yield _rows(ready, number)
-                    number += len(ready)
-                    ready = []
+            for part in parts(batch):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), memo.encode(texts(part.column("text")), end_id)):
+                    doc, whole = (doc_id, len(ids)), len(ids) - len(ids) % window
+                    ready += [[(doc, at, ids[at : at + window])] for at in range(0, whole, window)]
+                    if whole < len(ids):
+                        ready += packer.place((doc, whole, ids[whole:]))
+                    if len(ready) >= 1000:
+                        yield _rows(ready, number)
+                        number += len(ready)
+                        ready = []
+            give_back()
         ready += packer.pour(last=True)
         if ready:
             yield _rows(ready, number)
-        pa.default_memory_pool().release_unused()
+        batch = part = doc = ids = packer = ready = None
+        give_back()
 
     return pick(docs, id_col, text_col).mapInArrow(run, SCHEMA)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.textbatch import map_batches, pick, runs, utf8
+from rivulet.llm.textbatch import map_batches, map_parts, pick, runs, utf8
 
 KINDS = ["assign", "access", "hex", "random"]
 N_BASE = 3
@@ -200,7 +200,7 @@ def redacted(docs: DataFrame, vocabulary: str, *, text_col: str = "text", chars_
         columns[text_col] = pa.array(out, batch.schema.field(text_col).type)
         return pa.record_batch(list(columns.values()), names=list(columns))
 
-    cleaned = map_batches(docs, run, fields)
+    cleaned = map_parts(docs, run, fields)
     if chars_col in fields.names:
         cleaned = cleaned.withColumn(chars_col, F.length(text_col).cast(fields[chars_col].dataType))
     return cleaned

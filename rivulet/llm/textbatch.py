@@ -8,6 +8,8 @@ on the number of rows.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled by numpy at once.
 RUN_BYTES = 1 << 20
+#: Bytes of a batch that ``map_parts`` hands on at once.
+PART_BYTES = 4 << 20
 #: Word separators: space and 0x09 to 0x0D.
 SEPARATORS = b" \t\n\x0b\x0c\r"
 
@@ -36,6 +40,58 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)  # only glibc has it
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task and stage, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+_KEPT: list = [None, None]
+
+
+def kept[T](key: object, make: Callable[[], T]) -> T:
+    """What a worker keeps for its next tasks, made once: one thing only, so that it goes when another operator's takes its place."""
+    if _KEPT[0] != key:
+        _KEPT[:] = None, None
+        give_back()
+        _KEPT[:] = key, make()
+    return _KEPT[1]
+
+
+def parts(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices, in order, of at most so many bytes, or of one longer row."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from parts(batch.slice(0, half), most)
+    yield from parts(batch.slice(half), most)
+
+
+def map_parts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``map_batches`` over ``parts`` of every batch, for ``fn`` that see rows one by one.
+
+    What ``fn`` makes of its rows, and what it returns, then goes by ``PART_BYTES``, not
+    by a batch of 10,000 texts, and nothing freed is kept from one batch to the next.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                if part.num_rows and (out := fn(part)) is not None and out.num_rows:
+                    yield out
+            give_back()
+        batch = part = out = None
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names: other columns can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
