@@ -1015,7 +1015,7 @@ def image_resize(spark, d):
 @query("image_rotate", "SELECT vec_id, [round(e[(7 - i % 8) * 8 + i // 8 + 1], 6) for i in range(64)] AS part FROM emb")
 def image_rotate(spark, d):
     v = image.on_column(vectors(spark, d).select("vec_id", "e"), "e", (8, 8), image.rotate, 90)
-    return v.select("vec_id", F.transform("e", lambda x: F.round(x, 6)).alias("part"))
+    return v.select("vec_id", F.transform("e", lambda x: tensor.round_to(x, 6)).alias("part"))
 
 
 @query(

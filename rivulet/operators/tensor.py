@@ -34,6 +34,11 @@ def half_up(x: Column) -> Column:
     return F.signum(x) * F.floor(F.abs(x) + 0.5)
 
 
+def round_to(x: Column, places: int) -> Column:
+    """Half away from zero to decimal places; what rounds to zero keeps its sign (-0.0), as in SQL."""
+    return F.signum(x) * F.round(F.abs(x), places)
+
+
 UNARY = {"round": half_up, "ceil": lambda x: F.ceil(x), "floor": lambda x: F.floor(x), "abs": lambda x: F.abs(x), "minus": lambda x: -x}
 BINARY = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b}
 
