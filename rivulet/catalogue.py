@@ -716,7 +716,7 @@ def mirror(spark, d):
 
 @query("image_transfer", "SELECT vec_id, [round(e[i % 4 * 16 + i // 4 + 1], 6) for i in range(64)] AS part FROM emb")
 def image_transfer(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(tensor.nchw_to_nhwc(F.col("e"), 4, 4, 4), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(tensor.nchw_to_nhwc(F.col("e"), 4, 4, 4), lambda x: tensor.round_to(x, 6)).alias("part"))
 
 
 # --- layouts ------------------------------------------------------------------------
