@@ -711,7 +711,7 @@ def blend(spark, d):
 
 @query("mirror", "SELECT vec_id, [round(e[i // 8 * 8 + 8 - i % 8], 6) for i in range(64)] AS part FROM emb")
 def mirror(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(tensor.mirror(F.col("e"), 8), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(tensor.mirror(F.col("e"), 8), lambda x: tensor.round_to(x, 6)).alias("part"))
 
 
 @query("image_transfer", "SELECT vec_id, [round(e[i % 4 * 16 + i // 4 + 1], 6) for i in range(64)] AS part FROM emb")
