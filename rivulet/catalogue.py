@@ -682,7 +682,7 @@ def tensor_slice(spark, d):
 
 @query("tensor_transpose", "SELECT vec_id, [round(e[i % 8 * 8 + i // 8 + 1], 6) for i in range(64)] AS part FROM emb")
 def tensor_transpose(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(tensor.transpose(F.col("e"), (8, 8)), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(tensor.transpose(F.col("e"), (8, 8)), lambda x: tensor.round_to(x, 6)).alias("part"))
 
 
 @query("tensor_create", "SELECT range(2, 11, 3) AS a, [0.0::DOUBLE, 0.0, 0.0] AS z, [7.0::DOUBLE, 7.0] AS f FROM region WHERE r_regionkey = 0")
