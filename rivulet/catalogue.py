@@ -854,7 +854,7 @@ def pass_through(spark, d):
 
 @query("vflip", "SELECT vec_id, [round(e[(7 - i // 8) * 8 + i % 8 + 1], 6) for i in range(64)] AS part FROM emb")
 def vflip(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(tensor.mirror(F.col("e"), 8, "vertical"), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(tensor.mirror(F.col("e"), 8, "vertical"), lambda x: tensor.round_to(x, 6)).alias("part"))
 
 
 @query("crop", "SELECT vec_id, [round(e[(i // 4 + 2) * 8 + i % 4 + 3], 6) for i in range(16)] AS part FROM emb")
