@@ -860,7 +860,7 @@ def vflip(spark, d):
 @query("crop", "SELECT vec_id, [round(e[(i // 4 + 2) * 8 + i % 4 + 3], 6) for i in range(16)] AS part FROM emb")
 def crop(spark, d):
     rows = F.slice(tensor.reshape(F.col("e"), (8, 8)), 3, 4)
-    return vectors(spark, d).select("vec_id", F.transform(F.flatten(F.transform(rows, lambda r: F.slice(r, 3, 4))), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(F.flatten(F.transform(rows, lambda r: F.slice(r, 3, 4))), lambda x: tensor.round_to(x, 6)).alias("part"))
 
 
 @query("robot_echo", "SELECT vec_id, round(list_sum([e[i] + CASE WHEN i > 4 THEN e[greatest(i - 4, 1)] * 0.5 ELSE 0 END for i in range(1, len(e) + 1)]), 4) AS total FROM emb")
