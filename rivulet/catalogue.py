@@ -574,7 +574,7 @@ def type_hash(spark, d):
 
 @query("tensor_strided", "SELECT vec_id, list_transform(range(12), lambda k: round(e[(k // 3) * 4 + (k % 3) * 2 + 3], 6)) AS view, list_transform(range(6), lambda k: round(e[k // 3 + 1], 6)) AS wide FROM emb")
 def tensor_strided(spark, d):
-    six = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    six = lambda c: F.transform(c, lambda x: tensor.round_to(x, 6))
     return vectors(spark, d).select("vec_id", six(tensor.as_strided(F.col("e"), [4, 3], [4, 2], 2)).alias("view"), six(tensor.expand(F.slice("e", 1, 2), [2, 1], [2, 3])).alias("wide"))
 
 
