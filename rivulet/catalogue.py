@@ -677,7 +677,7 @@ def tensor_concat(spark, d):
 
 @query("tensor_slice", "SELECT vec_id, [round(e[i], 6) for i in [3, 5, 7]] AS part FROM emb")
 def tensor_slice(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(tensor.slice_(F.col("e"), 2, 8, 2), lambda x: F.round(x, 6)).alias("part"))
+    return vectors(spark, d).select("vec_id", F.transform(tensor.slice_(F.col("e"), 2, 8, 2), lambda x: tensor.round_to(x, 6)).alias("part"))
 
 
 @query("tensor_transpose", "SELECT vec_id, [round(e[i % 8 * 8 + i // 8 + 1], 6) for i in range(64)] AS part FROM emb")

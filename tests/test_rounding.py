@@ -6,7 +6,7 @@ import pytest
 from rivulet.catalogue import CATALOGUE
 
 TINY = [-3e-7, -0.0, 3e-7, -5e-7, -4.9e-7, 5e-7, 0.0, -0.0078125, 0.0078125, -0.1234565, 0.1234565, -1.5, 2.25]
-NAMES = ["image_rotate", "image_transfer", "mirror", "tensor_transpose", "vflip", "crop", "tensor_strided"]
+NAMES = ["image_rotate", "image_transfer", "mirror", "tensor_transpose", "vflip", "crop", "tensor_strided", "tensor_slice"]
 
 
 @pytest.fixture(scope="module")
